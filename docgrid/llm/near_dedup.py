@@ -9,10 +9,13 @@ is that coordinate's value. Two documents agree in a coordinate with the probabi
 weighted Jaccard similarity. Ranks are looked at up to a bound by the document's total weight,
 about k ln k + 2k hits whatever its size, and further only while a coordinate is empty.
 
-Bands of ``ROWS`` coordinates bring candidates together. Within a band's bucket members are first
-compared with one centre; buckets whose members are then still in several groups compare the rest,
-the small ones across their groups, the large ones after splitting them by further bands. Every
-candidate is checked exactly, and links are closed to groups by their least id.
+Bands of ``ROWS`` coordinates, together with the size class of the set, bring candidates together:
+sets that are similar enough differ in size by less than one class, and each stands in its own and
+the next. Buckets of the same members are one. Within a bucket one member is compared with all,
+and so is every member that it is not linked to; what is left are pairs that are in one group
+already. Buckets of many members, or of long texts, are dealt out as pairs of blocks, so that no
+task holds more than two blocks of bounded size. Links, which are exact, are closed to groups by
+their least id.
 
 Copies of a text (equal words) are one document until the end: only one of them is signed.
 
@@ -33,12 +36,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import cut, mix, shingle_hashes, slices, unit, word_hashes
+from docgrid.llm.common import cut, filtered_scans, mix, shingle_hashes, slices, unit, word_hashes
 
-COORDINATES, ROWS = 96, 4
+COORDINATES, ROWS = 125, 5
 SHINGLE, SIMILARITY = 5, 0.8
-#: Members up to which a bucket is compared pair by pair; splits of larger ones by one band more.
-SMALL, DEPTH = 16, 3
+#: Members, and bytes of text, of a block.
+BLOCK, BLOCK_BYTES = 1_000, 8_000_000
 
 
 def _chain(x: np.ndarray, *salts: int) -> np.ndarray:
@@ -97,7 +100,7 @@ def _sign(k: int, rows: int, n_words: int, weighting: str):
             ids, texts = frame["id"].to_numpy(), [t.encode() if isinstance(t, str) else b"" for t in frame["text"]]
             for a, b in slices(texts):
                 words, at = word_hashes(texts[a:b])
-                owner, elements, weights, rowed, digests = [], [], [], [], []
+                owner, elements, weights, rowed, digests, sizes = [], [], [], [], [], []
                 for i in range(b - a):
                     own = words[at[i] : at[i + 1]]
                     if not len(own):
@@ -107,38 +110,64 @@ def _sign(k: int, rows: int, n_words: int, weighting: str):
                     elements.append(el)
                     weights.append(count.astype(float) if weighting == "count" else np.ones(len(el)))
                     rowed.append(ids[a + i])
+                    sizes.append(float(weights[-1].sum()))
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 if rowed:
                     sig = bands(dart_signatures(np.concatenate(owner), np.concatenate(elements), np.concatenate(weights), len(rowed), k), rows)
-                    yield pd.DataFrame({"id": rowed, "digest": digests, "bands": list(sig)})
+                    yield pd.DataFrame({"id": rowed, "digest": digests, "size": sizes, "bands": list(sig)})
 
     return sign
 
 
-def _similar(n_words: int, least: float, weighting: str):
-    def sets(text: str) -> tuple[np.ndarray, np.ndarray]:
-        words, _ = word_hashes([text.encode()])
-        el, count = np.unique(shingle_hashes(words, n_words), return_counts=True)
-        return el, count if weighting == "count" else np.ones(len(el), np.int64)
-
-    def similarity(x, y) -> float:
-        _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-        both = np.minimum(x[1][i], y[1][j]).sum()
-        return float(both / (x[1].sum() + y[1].sum() - both))
-
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_id, last = None, None
-        for frame in frames:
-            out = []
-            for a, b, ta, tb in zip(frame["a"], frame["b"], frame["text_a"], frame["text_b"], strict=True):
-                if last is None or last_id != a:
-                    last_id, last = a, sets(ta)
-                s = similarity(last, sets(tb))
-                if s >= least:
-                    out.append((a, b, s))
-            yield pd.DataFrame(out, columns=["a", "b", "similarity"])
-
-    return check
+def link(sets: list[tuple[np.ndarray, np.ndarray]], least: float) -> list[tuple[int, int, float]]:
+    """A spanning forest of the pairs of (elements, counts) whose Jaccard similarity is ``least`` or more."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(e) for e, _ in sets])
+    values, code = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True)
+    count = np.concatenate([c for _, c in sets]).astype(np.int64)
+    order = np.argsort(code, kind="stable")
+    held_by, held = owner[order], count[order]
+    start = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(values)))])
+    first = np.concatenate([[0], np.cumsum([len(e) for e, _ in sets])])
+    total = np.bincount(owner, count, n)
+
+    def similar(x: int) -> np.ndarray:
+        own, mine = code[first[x] : first[x + 1]], count[first[x] : first[x + 1]]
+        lo, m = start[own], start[own + 1] - start[own]
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+        both = np.bincount(held_by[at], np.minimum(held[at], np.repeat(mine, m)), n)
+        return both / (total[x] + total - both)
+
+    parent = list(range(n))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out, seed = [], similar(0)
+    for x in [0, *np.flatnonzero(seed < least).tolist()]:
+        row = similar(x) if x else seed
+        for y in np.flatnonzero(row >= least).tolist():
+            if top(x) != top(y):
+                parent[top(y)] = top(x)
+                out.append((x, y, float(row[y])))
+    return out
+
+
+def _link(n_words: int, least: float, weighting: str):
+    def linked(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("id").sort_values("id")
+        words, at = word_hashes([t.encode() for t in frame["text"]])
+        sets = []
+        for i in range(len(frame)):
+            el, count = np.unique(shingle_hashes(words[at[i] : at[i + 1]], n_words), return_counts=True)
+            sets.append((el, count if weighting == "count" else np.ones(len(el), np.int64)))
+        ids = frame["id"].tolist()
+        return pd.DataFrame([(ids[x], ids[y], s) for x, y, s in link(sets, least)], columns=["a", "b", "similarity"])
+
+    return linked
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -161,49 +190,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
-class _Linker:
-    """Checks candidates against the candidates' texts and keeps what was found so far."""
-
-    def __init__(self, texts: DataFrame, n_words: int, least: float, weighting: str):
-        self.texts, self.check = texts, _similar(n_words, least, weighting)
-        self.tested: DataFrame | None = None
-        self.links: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def test(self, pairs: DataFrame) -> None:
-        """``pairs`` (a, b), a < b; those tested before are left out."""
-        pairs = pairs.distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            return
-        kind = dict(pairs.dtypes)["a"]
-        t = self.texts
-        with_texts = pairs.join(t.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(t.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        found = cut(with_texts.select("a", "b", "text_a", "text_b").mapInPandas(self.check, f"a {kind}, b {kind}, similarity double"))
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.labels = components(self.links.select("a", "b"))
-
-    def labelled(self, members: DataFrame) -> DataFrame:
-        if self.labels is None:
-            return members.withColumn("label", F.col("id"))
-        return members.join(self.labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-
-
-def _star(buckets: DataFrame) -> DataFrame:
-    """Each member with its bucket's centre, the member of the least id."""
-    centre = buckets.groupBy("key").agg(F.min("id").alias("a"))
-    return buckets.join(centre, "key").filter("id > a").select("a", F.col("id").alias("b"))
-
-
-def _across(buckets: DataFrame) -> DataFrame:
-    """Pairs of members in different groups, within buckets of a bounded size."""
-    one, two = buckets.select("key", F.col("id").alias("a"), F.col("label").alias("la")), buckets.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
-    return one.join(two, "key").filter("a < b and la <> lb").select("a", "b")
-
-
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_words: int = SHINGLE, similarity: float = SIMILARITY, k: int = COORDINATES, rows: int = ROWS, weighting: str = "set") -> tuple[DataFrame, DataFrame]:
     """Classes and links.
 
@@ -211,45 +197,29 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Links: (a, b, similarity) between different texts, each by the least id of its copies; they
     hold the groups together, and need not be all pairs within one.
     """
-    spark = df.sparkSession
     kind = df.schema[id_col].dataType
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = cut(base.filter(F.col("id").isNotNull()).mapInPandas(_sign(k, rows, n_words, weighting), f"id {kind.simpleString()}, digest binary, bands array<bigint>"))
+    signed = cut(base.filter(F.col("id").isNotNull()).mapInPandas(_sign(k, rows, n_words, weighting), f"id {kind.simpleString()}, digest binary, size double, bands array<bigint>"))
 
     one = signed.groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = signed.select("id", "bands", "digest").join(one.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("rep"))).select("id", "bands").dropDuplicates(["id"])
-    band = reps.select("id", F.posexplode("bands").alias("band", "hash"), "bands")
-    sizes = band.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = cut(band.join(sizes, ["band", "hash"]).select(F.xxhash64("band", "hash").alias("key"), "band", "id", "bands"))
-
-    wanted = buckets.select("id").distinct()
-    texts = cut(base.join(wanted, "id").dropDuplicates(["id"]))
-    linker = _Linker(texts, n_words, similarity, weighting)
-    if not buckets.isEmpty():
-        linker.test(_star(buckets))
-    for depth in range(1, DEPTH + 1):
-        members = linker.labelled(buckets)
-        mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key", "n")
-        mixed = cut(members.join(mixed, "key"))
-        if mixed.isEmpty():
-            break
-        if depth == DEPTH:
-            linker.test(_star(mixed))
-            left = linker.labelled(mixed.drop("label"))
-            linker.test(_across(left.join(left.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("key"), "key")))
-            break
-        linker.test(_across(mixed.filter(F.col("n") <= SMALL)))
-        large = mixed.filter(F.col("n") > SMALL).select("key", "band", "id", "bands")
-        split = large.select("key", "band", "id", "bands", F.posexplode("bands").alias("band2", "hash2")).filter("band2 > band")
-        split = split.select(F.xxhash64("key", "band2", "hash2").alias("key"), F.col("band2").alias("band"), "id", "bands")
-        several = split.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        buckets = cut(split.join(several, "key"))
-        if buckets.isEmpty():
-            break
-        linker.test(_star(buckets))
-
-    links = linker.links if linker.links is not None else spark.createDataFrame([], f"a {kind.simpleString()}, b {kind.simpleString()}, similarity double")
-    labels = linker.labels if linker.labels is not None else links.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    reps = signed.join(one.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("rep"))).select("id", "size", "bands").dropDuplicates(["id"])
+    own = F.floor(F.log("size") / F.lit(-math.log(similarity))).cast("int")
+    band = reps.select("id", own.alias("own"), F.posexplode("bands").alias("band", "hash")).select("id", "own", F.xxhash64("band", "hash").alias("b"))
+    shared = band.groupBy("b").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("b")
+    band = cut(band.join(shared, "b").select("b", "id", F.explode(F.array("own", F.col("own") + 1)).alias("bin")))
+    # the members of a bucket as one value: buckets of equal members are equal
+    members = band.groupBy("b", "bin").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("n > 1")
+    buckets = band.join(members, ["b", "bin"]).select(F.xxhash64("n", "x", "y").alias("key"), "n", "bin", "id").distinct()
+    held = F.greatest(F.lit(8), F.least(F.lit(BLOCK), (F.lit(float(BLOCK_BYTES)) / (F.pow(F.lit(1 / similarity), "bin") * 8)).cast("int")))
+    buckets = cut(buckets.withColumn("g", F.ceil(F.col("n") / held).cast("int")).select("key", "id", "g"))
+
+    blocks = buckets.filter("g >= 1").withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    blocks = blocks.select("key", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    with filtered_scans(df.sparkSession):
+        texts = base.join(buckets.filter("g >= 1").select("id"), "id", "left_semi")
+        links = cut(texts.join(blocks, "id").groupBy("key", "i", "j").applyInPandas(_link(n_words, similarity, weighting), f"a {kind.simpleString()}, b {kind.simpleString()}, similarity double"))
+    links = links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.first("similarity").alias("similarity"))
+    labels = components(links)
     classes = one.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     known = signed.select("id", "digest").join(classes, "digest").select("id", "class_id").dropDuplicates(["id"])
     size = known.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
