@@ -46,7 +46,7 @@ BLOCK, BLOCK_BYTES = 1_000, 8_000_000
 
 def _chain(x: np.ndarray, *salts: int) -> np.ndarray:
     for s in salts:
-        x = mix(x + np.uint64((s * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & ((1 << 64) - 1)))
+        x = mix(x + np.uint64(pow(0xD6E8FEB86659FD93, s + 2, 1 << 64)))
     return x
 
 
