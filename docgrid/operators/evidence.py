@@ -11,9 +11,9 @@ EVIDENCE, FURNITURE, CROP = 3, 0.30, 0.02
 
 
 def namespaces(observations: DataFrame, evidence: int = EVIDENCE) -> DataFrame:
-    """The best offset of each prefix in (doc_id, prefix, pdf_page, printed_page, confidence)."""
+    """The best offset of each prefix in (doc_id, prefix, pdf_page, printed_page, confidence); weights in hundredths."""
     o = observations.withColumn("page_offset", F.col("pdf_page") - F.col("printed_page"))
-    o = o.groupBy("doc_id", "prefix", "page_offset").agg(F.count(F.lit(1)).alias("support"), F.sum("confidence").alias("weight"))
+    o = o.groupBy("doc_id", "prefix", "page_offset").agg(F.count(F.lit(1)).alias("support"), F.sum(F.round(F.col("confidence") * 100).cast("long")).alias("weight"), F.min("pdf_page").alias("pdf_start"))
     w = W.partitionBy("doc_id", "prefix").orderBy(F.col("support").desc(), F.col("weight").desc(), F.abs("page_offset"), "page_offset")
     return o.withColumn("_r", F.row_number().over(w)).filter(f"_r = 1 and support >= {evidence}").drop("_r", "weight")
 

@@ -62,7 +62,7 @@ def roman_depth(spark: SparkSession, d: str) -> DataFrame:
 
 def namespace_vote(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "lineitem").select(F.expr("l_orderkey div 10").alias("doc_id"), F.col("l_returnflag").alias("prefix"), F.col("l_linenumber").alias("pdf_page"), (F.col("l_linenumber") - F.col("l_suppkey") % 3).cast("int").alias("printed_page"), F.lit(0.5).alias("confidence"))
-    return evidence.namespaces(o)
+    return evidence.namespaces(o).drop("pdf_start")
 
 
 def repeated_furniture(spark: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from docgrid.plans.queries import ORACLE_SQL, QUERIES
+from docgrid.plans import queries, structure_queries
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 
 FLAGSHIP = "detect_profile"
+QUERIES = {**queries.QUERIES, **structure_queries.QUERIES}
+ORACLE_SQL = {**queries.ORACLE_SQL, **structure_queries.ORACLE_SQL}
