@@ -42,6 +42,8 @@ COORDINATES, ROWS = 125, 5
 SHINGLE, SIMILARITY = 5, 0.8
 #: Members, and bytes of text, of a block.
 BLOCK, BLOCK_BYTES = 1_000, 8_000_000
+#: Parts in which the members of a class are joined with its size.
+SALTS = 16
 
 
 def _chain(x: np.ndarray, *salts: int) -> np.ndarray:
@@ -222,8 +224,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     labels = components(links)
     classes = one.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     known = signed.select("id", "digest").join(classes, "digest").select("id", "class_id").dropDuplicates(["id"])
-    size = known.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    known = known.join(size, "class_id").select(F.col("id").alias("_i"), "class_id", "class_size")
+    # members of a large class meet its size in SALTS parts; single documents need no partner
+    size = known.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).filter("class_size > 1").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = known.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(size, ["class_id", "_s"], "left")
+    known = known.select(F.col("id").alias("_i"), "class_id", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
     out = df.select(F.col(id_col).alias("_id")).join(known, F.col("_id") == F.col("_i"), "left")
     out = out.select(F.col("_id").alias(id_col), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("class_id"))), links
