@@ -176,3 +176,30 @@ def test_paths_and_anchors(spark):
     assert tree.chapter_paths(c.limit(0)).count() == 0
     paths = spark.createDataFrame([("a", "m", "run.json"), ("a", "n", "out"), ("a", "o", "out/x.json"), ("a", "p", "output"), ("b", "q", "out")], "doc_id string, name string, path string")
     assert [tuple(r) for r in bundle.path_collisions(paths).collect()] == [("a", "n", "o")]
+
+
+def test_match_headings(spark):
+    import difflib
+
+    rng = random.Random(9)
+    words = ["1.2", "1", "Pumps", "Valves", "cold", "Water", "II.", "Oil"]
+    title = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5)))
+    rows = [("a", i, title(), rng.choice([None, *range(1, 30)])) for i in range(30)]
+    heads = [("a", i, title(), rng.randrange(1, 40), rng.choice([0.5, 0.75])) for i in range(25)]
+    fold = lambda t: " ".join(re.sub(r"[^\w]+", " ", t.casefold()).split())
+    mark = lambda t: (re.match(r"(\d+(?:\.\d+)*|[IVXLCDM]+\.)(?=\s|$)", t) or [""])[0]
+
+    def score(t, p, h):
+        a, b, x, y = fold(t), fold(h[2]), mark(t), mark(h[2])
+        near = 0.0 if p is None else max(0.0, 1 - abs(h[3] - p) / 4)
+        number = 0.0 if not x or not y else 1.0 if x == y else 0.6 if x.startswith(y) or y.startswith(x) else 0.0
+        return min(1.0, difflib.SequenceMatcher(None, a, b).ratio() * 0.55 + near * 0.2 + number * 0.15 + h[4] * 0.1 + 0.08 * (a == b))
+
+    want = {}
+    for _, i, t, p in rows:
+        close = [h for h in heads if p is not None and abs(h[3] - p) <= 3]
+        best = max(close or heads, key=lambda h: (score(t, p, h), -h[1]))
+        want[i] = (best[1], round(score(t, p, best), 9))
+    r = spark.createDataFrame(rows, "doc_id string, index int, title string, resolved_page int")
+    h = spark.createDataFrame(heads, "doc_id string, index int, title string, page int, confidence double")
+    assert {m["index"]: (m.heading_index, round(m.score, 9)) for m in printed.match_headings(r, h).select("heading_index", "score", F.col("index").alias("i")).withColumnRenamed("i", "index").collect()} == want
