@@ -1,8 +1,8 @@
 """Line dedup by winnowing over line hashes; DataFrame functions only.
 
 A gram is ``GRAM`` lines in a row; of every ``WINDOW`` grams in a row the one with the least hash
-is a fingerprint, and so is every line of ``LONG_WORDS`` words or more. Any run of GRAM + WINDOW - 1
-lines that two places share has a common fingerprint. Each fingerprint is joined to its first
+is a fingerprint. Any run of GRAM + WINDOW - 1 lines that two places share has a common fingerprint;
+shorter runs are fingerprints themselves where they have ``LONG_WORDS`` words or more. Each fingerprint is joined to its first
 place in the corpus (by id, then text hash, then line); along that pair's diagonal the match is
 extended both ways, line by line, and the later run is deleted. A line is only deleted as the copy
 of a line at an earlier place, so the first of all copies stays. As a fingerprint's copies all
@@ -27,8 +27,22 @@ def _at(a: Column, i: Column) -> Column:
     return F.get(a, i.cast("int"))
 
 
+def long_runs(counts: Column, size: int, long_words: int = LONG_WORDS) -> Column:
+    """Where ``size`` lines have ``long_words`` words together, and no fewer of them do."""
+
+    def total(i: Column, first: int, last: int) -> Column:
+        return sum((_at(counts, i + k) for k in range(first, last)), F.lit(0))
+
+    def needed(i: Column) -> Column:
+        enough = total(i, 0, size) >= long_words
+        return enough if size == 1 else enough & (total(i, 0, size - 1) < long_words) & (total(i, 1, size) < long_words)
+
+    places = F.when(F.size(counts) >= size, F.sequence(F.lit(0), F.size(counts) - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.filter(places, needed), lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos")))
+
+
 def fingerprints(hashes: Column, long: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """The fingerprints of a document: an array of (size, pos, hash)."""
+    """The fingerprints of a document: an array of (size, pos, hash); ``long`` holds (size, pos) of long runs."""
     n = F.size(hashes) - gram + 1
     grams = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(_at(hashes, i + k) for k in range(gram))))
 
@@ -39,8 +53,8 @@ def fingerprints(hashes: Column, long: Column, gram: int = GRAM, window: int = W
     grams_of = F.when(n > 0, grams).otherwise(F.array().cast("array<bigint>"))
     picked = F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - window)), least))).otherwise(F.array().cast("array<int>"))
     by_gram = F.transform(picked, lambda p: F.struct(F.lit(gram).alias("size"), p.alias("pos"), F.xxhash64(*(_at(hashes, p + k) for k in range(gram))).alias("hash")))
-    alone = F.transform(long, lambda p: F.struct(F.lit(1).alias("size"), p.alias("pos"), _at(hashes, p).alias("hash")))
-    return F.concat(by_gram, alone)
+    alone = F.transform(long, lambda r: F.struct(r["size"].alias("size"), r["pos"].alias("pos"), F.coalesce(*(F.when(r["size"] == m, F.xxhash64(*(_at(hashes, r["pos"] + k) for k in range(m)))) for m in range(1, gram + window - 1)), F.lit(0).cast("long")).alias("hash")))
+    return F.array_distinct(F.concat(by_gram, alone))
 
 
 def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
@@ -50,8 +64,9 @@ def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     lines = F.split(F.col(text_col), "\n", -1)
     docs = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), lines.alias("_lines"))
-    many = F.filter(F.transform("_lines", lambda x, i: F.when((F.octet_length(x) >= 2 * long_words - 1) & (F.regexp_count(x, F.lit(WORD)) >= long_words), i)), lambda i: i.isNotNull())
-    docs = docs.select("_id", "_th", F.transform("_lines", lambda x: F.xxhash64(F.trim(x))).alias("_h"), many.alias("_long"))
+    counts = F.transform("_lines", lambda x: F.regexp_count(x, F.lit(WORD)))
+    docs = docs.select("_id", "_th", F.transform("_lines", lambda x: F.xxhash64(F.trim(x))).alias("_h"), counts.alias("_n"))
+    docs = docs.select("_id", "_th", "_h", F.concat(*(long_runs(F.col("_n"), m, long_words) for m in range(1, gram + window - 1))).alias("_long"))
     docs = cut(docs.dropDuplicates(["_id", "_th"]))
 
     marks = docs.withColumn("_f", F.explode(fingerprints(F.col("_h"), F.col("_long"), gram, window))).select("_id", "_th", "_f.size", "_f.pos", "_f.hash")

@@ -225,6 +225,16 @@ def test_lines(spark):
     assert got[7]["text"].split("\n")[:2] == ["z", "z"]
 
 
+def test_long_runs_of_few_lines(spark):
+    """Two shared lines of 50 words together go wherever they stand; the first of them stay."""
+    a, b, c = words(3, 27), words(5, 23), words(6, 22)
+    rows = [(10 * n + k, "\n".join([*(f"own {n} {k} {j}" for j in range(n)), a, other, f"end {n} {k}"])) for n in range(6) for k, other in enumerate((b, c))]
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n in range(1, 6):
+        assert a not in got[10 * n] and b not in got[10 * n] and len(got[10 * n]) == n + 1
+    assert a in got[0] and b in got[0] and c in got[1]
+
+
 def test_shards(spark, docs):
     import xxhash
 
