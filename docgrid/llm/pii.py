@@ -11,7 +11,7 @@ The patterns have no nested repetition that Java's matcher would recurse over, a
 a run of their characters begins, so that long texts cost linear time and constant stack.
 
 Defined cases: null is the empty text; rows equal in id and text are found together and all
-returned; entities without a second text have no terms; an empty table gives no rows; only id and
+returned; entities of a single text have terms too; an empty table gives no rows; only id and
 text are read. Offsets are code points from 0, the end exclusive.
 """
 
@@ -33,8 +33,10 @@ PATTERNS = {
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Code points on either side of a mention, the least disclosure, and the fewest different texts.
-AROUND, DISCLOSURE, SUPPORT = 80, 0.9, 3
+#: Code points on either side of a mention, the least disclosure, and the fewest different texts (1: no entity is left out).
+AROUND, DISCLOSURE, SUPPORT = 80, 0.9, 1
+#: Documents by which p(e|t) is drawn towards p(e).
+PRIOR = 0.5
 #: Terms up to which the list of candidates is broadcast.
 BROADCAST_TERMS = 200_000
 TERM = r"\p{L}{3,}"
@@ -130,7 +132,8 @@ def find_pii(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", a
         counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_t")).join(wanted, "term", "left_semi")
     n = F.lit(float(max(rows, 1)))
     content = -F.log(F.col("df_e") / n)
-    mutual = F.log(F.col("df_te") * n / (F.col("df_t") * F.col("df_e")))
+    given = (F.col("df_te") + F.lit(PRIOR) * F.col("df_e") / n) / (F.col("df_t") + F.lit(PRIOR))
+    mutual = F.log(given * n / F.col("df_e"))
     telling = both.join(counts, "term").filter((content > 0) & (mutual >= F.lit(float(disclosure)) * content)).select("entity", "term")
 
     terms = near.join(telling, ["entity", "term"]).groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))

@@ -168,6 +168,13 @@ def test_pii_terms(spark):
     assert all(got[i]["n_term"] == 1 for i in range(5)) and not any(got[100 + i]["n_term"] for i in range(60))
 
 
+def test_pii_terms_of_a_single_text(spark):
+    """An entity of one text is protected as any other; a term that stands elsewhere more often is not removed."""
+    rows = [(0, "common zebra ann@site.com"), (1, "common yak bob@site.com")] + [(100 + i, f"{words(i)} common" + " yak" * (i < 9)) for i in range(200)]
+    got = {r["doc_id"]: r for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["spans"] == "email:13:25,term:7:12" and got[1]["n_term"] == 0 and not any(got[100 + i]["n_term"] for i in range(200))
+
+
 def test_near(spark, docs):
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs)[0].collect()}
     assert got[1]["class_id"] == got[2]["class_id"] == got[7]["class_id"] == 1 and got[1]["class_size"] == 3
