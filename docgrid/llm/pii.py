@@ -1,7 +1,7 @@
 """PII by information-theoretic sanitisation; DataFrame functions only.
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. For each
-entity the words around its mentions are terms that may reveal it. With document frequencies over
+entity all words of the texts that mention it are terms that may reveal it. With frequencies of rows over
 the whole corpus, a term's disclosure of an entity is its pointwise mutual information with it over
 the entity's information content, ``log(p(t,e) / p(t) p(e)) / -log p(e)``: 1 when the term occurs
 with that entity alone. Terms at or above the threshold that occur with the entity in enough
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import cut
+from docgrid.llm.common import cut, row_key
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -33,15 +33,14 @@ PATTERNS = {
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Code points on either side of a mention, the least disclosure, and the fewest different texts (1: no entity is left out).
-AROUND, DISCLOSURE, SUPPORT = 80, 0.9, 1
+#: The least disclosure, and the fewest different texts (1: no entity is left out).
+DISCLOSURE, SUPPORT = 0.9, 1
 #: Documents by which p(e|t) is drawn towards p(e).
 PRIOR = 0.5
-#: Terms up to which the list of candidates is broadcast.
-BROADCAST_TERMS = 200_000
 TERM = r"\p{L}{3,}"
 
 SPAN = "array<struct<start:int,end:int,match:string>>"
+PLACES = "array<struct<start:int,end:int>>"
 
 
 def _digits(s: Column) -> Column:
@@ -92,54 +91,69 @@ def base_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     return out.select("_id", "_th", "_text", F.concat(*each).alias("spans"))
 
 
-def _terms(text: Column, offset: Column) -> Column:
-    """The words of a context with their places in the document."""
+def _words(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _places(text: Column, wanted: Column) -> Column:
+    """The places of all wanted terms in a text."""
     found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    return F.transform(_spans(text, found, TERM), lambda s: F.struct(F.lower(s["match"]).alias("term"), (s["start"] + offset).alias("start"), (s["end"] + offset).alias("end")))
+    pieces = F.arrays_zip(F.slice(F.split(text, TERM, -1), F.lit(1), F.size(found)).alias("p"), found.alias("m"))
 
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.char_length(x["p"])
+        end = start + F.char_length(x["m"])
+        more = F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(F.array_contains(wanted, F.lower(x["m"])), more).otherwise(acc["out"]).alias("out"))
 
-def _around(text: Column, span: Column, around: int) -> Column:
-    """Terms on both sides of a span; words that the window cuts through are left out."""
-    at = F.greatest(F.lit(0), span["start"] - around)
-    left = F.substring(text, at + 1, span["start"] - at)
-    edge = F.when(at > 0, F.char_length(F.regexp_extract(left, r"^[\p{L}]*", 0))).otherwise(F.lit(0))
-    right = F.substring(text, span["end"] + 1, F.lit(around))
-    right = F.when(F.char_length(right) == around, F.regexp_replace(right, r"[\p{L}]+$", "")).otherwise(right)
-    return F.concat(_terms(F.substring(left, edge + 1, F.lit(around)), at + edge), _terms(right, span["end"]))
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out")), step)["out"]
 
 
-def find_pii(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", around: int = AROUND, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def find_pii(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(_id, _th, spans, terms) for every row: base spans and the spans of disclosing terms."""
     base = base_spans(df, id_col=id_col, text_col=text_col)
-    mention = F.transform("spans", lambda s: F.struct(
-        F.concat_ws(":", s["kind"], F.lower(s["match"])).alias("entity"),
-        F.filter(_around(F.col("_text"), s, around), lambda t: ~F.exists("spans", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"]))).alias("terms"),
-    ))
-    base = cut(base.select("_id", "_th", F.transform("spans", lambda s: F.struct(s["kind"], s["start"], s["end"])).alias("spans"), F.when(F.size("spans") > 0, mention).alias("mentions")))
+    entity = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"])))
+    some = F.size("spans") > 0
+    base = cut(base.select("_id", "_th", F.transform("spans", lambda s: F.struct(s["kind"], s["start"], s["end"])).alias("spans"), F.when(some, F.array_distinct(entity)).alias("_entities"), F.when(some, F.col("_text")).alias("_text")))
 
     rows = base.count()
-    seen = base.filter(F.col("mentions").isNotNull()).select("_id", "_th", F.explode("mentions").alias("m")).select("_id", "_th", "m.entity", "m.terms")
-    entities = seen.groupBy("entity", "_id", "_th").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
-    near = seen.select("_id", "_th", "entity", F.explode("terms").alias("t")).select("_id", "_th", "entity", "t.term", "t.start", "t.end")
-    both = near.groupBy("entity", "term", "_th").agg(F.count_distinct("_id").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("df_te"), F.count(F.lit(1)).alias("texts"))
-    both = cut(both.filter(F.col("texts") >= support).join(entities, "entity"))
-
-    wanted = cut(both.select("term").distinct())
-    words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    if wanted.count() <= BROADCAST_TERMS:
-        counts = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
-    else:
-        counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_t")).join(wanted, "term", "left_semi")
+    told = base.filter(F.col("_entities").isNotNull())
+    seen = told.select("_id", "_th", F.explode("_entities").alias("entity"))
+    sums = {f"_s{k}": F.sum(F.xxhash64(F.lit(k), row_key("_id"), F.col("_th")).cast("decimal(20,0)")) for k in (1, 2)}
+    entities = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"), *(s.alias(c) for c, s in sums.items()))
+    classes = seen.join(entities, "entity").groupBy("_id", "_th").agg(F.collect_set(F.struct("df_e", *sums)).alias("_classes"))
+    classes = cut(classes.withColumnsRenamed({"_id": "_i", "_th": "_t"}))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))
+
     n = F.lit(float(max(rows, 1)))
-    content = -F.log(F.col("df_e") / n)
-    given = (F.col("df_te") + F.lit(PRIOR) * F.col("df_e") / n) / (F.col("df_t") + F.lit(PRIOR))
-    mutual = F.log(given * n / F.col("df_e"))
-    telling = both.join(counts, "term").filter((content > 0) & (mutual >= F.lit(float(disclosure)) * content)).select("entity", "term")
 
-    terms = near.join(telling, ["entity", "term"]).groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    def telling(df_te: Column, df_t: Column, df_e: Column) -> Column:
+        given = (df_te + F.lit(PRIOR) * df_e / n) / (df_t + F.lit(PRIOR))
+        content = -F.log(df_e / n)
+        return (content > 0) & (F.log(given * n / df_e) >= F.lit(float(disclosure)) * content)
+
+    def may_tell(df_e: Column) -> Column:
+        return telling(F.least(df_e, F.col("df_t")), F.col("df_t"), df_e)
+
+    counts = df.select(F.explode(_words(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    sizes = classes.select("_i", "_t", F.array_distinct(F.transform("_classes", lambda c: c["df_e"])).alias("_sizes"))
+    near = told.select("_id", "_th", "_text").join(sizes, same).select("_id", "_th", "_sizes", F.explode(_words(F.col("_text"))).alias("term"))
+    near = near.join(counts, "term").filter(F.exists("_sizes", may_tell)).drop("_sizes")
+    near = near.join(classes, same).select("_id", "_th", "term", "df_t", F.explode(F.filter("_classes", lambda c: may_tell(c["df_e"]))).alias("_c"))
+    near = cut(near.select("_id", "_th", "term", "df_t", "_c.*"))
+
+    texts = [F.count_distinct("_th").alias("texts")] if support > 1 else []
+    both = near.groupBy("df_e", *sums, "term", "df_t").agg(F.count(F.lit(1)).alias("df_te"), *texts)
+    both = both.filter(telling(F.col("df_te"), F.col("df_t"), F.col("df_e")) & (F.col("texts") >= support if texts else F.lit(True)))
+    terms = near.join(both.select("df_e", *sums, "term"), ["df_e", *sums, "term"], "left_semi").groupBy("_id", "_th").agg(F.collect_set("term").alias("_terms"))
     terms = terms.withColumnsRenamed({"_id": "_i", "_th": "_t"})
-    out = base.drop("mentions").join(terms, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left")
-    return out.select("_id", "_th", "spans", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")).alias("terms"))
+
+    out = told.join(terms, same, "left").withColumn("terms", F.when(F.col("_terms").isNotNull(), _places(F.col("_text"), F.col("_terms"))))
+    free = F.filter("terms", lambda t: ~F.exists("spans", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))
+    none = F.array().cast(PLACES)
+    out = out.select("_id", "_th", "spans", F.coalesce(free, none).alias("terms"))
+    return out.unionAll(base.filter(F.col("_entities").isNull()).select("_id", "_th", "spans", none.alias("terms")))
 
 
 def digest(spans: Column) -> Column:

@@ -175,6 +175,17 @@ def test_pii_terms_of_a_single_text(spark):
     assert got[0]["spans"] == "email:13:25,term:7:12" and got[1]["n_term"] == 0 and not any(got[100 + i]["n_term"] for i in range(200))
 
 
+def test_pii_terms_of_whole_texts(spark):
+    """A disclosing term is found at any distance from the entity, and marked wherever it stands; null ids count."""
+    far = " common" * 60
+    texts = [f"zebra{far} ann@site.com", f"ann@site.com zebra{far} Zebra", f"ann@site.com{far}{far} zebra"]
+    rows = [*zip((1, None, 3), texts, strict=True)] + [(100 + i, f"{words(i)} common") for i in range(100)]
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in zip((1, None, 3), texts, strict=True):
+        assert got[i].split(",")[1:] == [f"term:{m.start()}:{m.end()}" for m in re.finditer("zebra", text, re.I)]
+    assert not any(got[100 + i] for i in range(100))
+
+
 def test_near(spark, docs):
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs)[0].collect()}
     assert got[1]["class_id"] == got[2]["class_id"] == got[7]["class_id"] == 1 and got[1]["class_size"] == 3
