@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes; DataFrame functions only.
+"""Line dedup by winnowing over line hashes, then over words; DataFrame functions only.
 
 A gram is ``GRAM`` lines in a row; of every ``WINDOW`` grams in a row the one with the least hash
 is a fingerprint. Any run of GRAM + WINDOW - 1 lines that two places share has a common fingerprint;
@@ -8,6 +8,11 @@ extended both ways, line by line, and the later run is deleted. A line is only d
 of a line at an earlier place, so the first of all copies stays. As a fingerprint's copies all
 point to one place, the rows grow with the lines and not with the square of a group.
 
+What then stays is winnowed once more by words, without regard to lines: of every ``WORD_WINDOW`` words in a row
+the one with the least hash begins a gram of ``WORD_GRAM`` words, and any run of ``LONG_WORDS`` words that
+two places share has a common gram. Matches are extended word by word, and of the later place the
+shared words are cut, with the white space before each, where they are ``LONG_WORDS`` or more.
+
 Defined cases: null is a text without lines and stays null; lines are compared without spaces at
 their ends; rows equal in id and text are one document and all get its result; a null id comes
 first; an empty table gives no rows; columns beside id and text pass through and are not read.
@@ -21,6 +26,9 @@ from pyspark.sql import functions as F
 from docgrid.llm.common import WORD, cut
 
 GRAM, WINDOW, LONG_WORDS = 2, 2, 50
+#: Their sum less one is LONG_WORDS.
+WORD_GRAM, WORD_WINDOW = 26, 25
+_PLACE = 1 << 31
 
 
 def _at(a: Column, i: Column) -> Column:
@@ -71,7 +79,11 @@ def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     marks = docs.withColumn("_f", F.explode(fingerprints(F.col("_h"), F.col("_long"), gram, window))).select("_id", "_th", "_f.size", "_f.pos", "_f.hash")
     first = marks.groupBy("size", "hash").agg(F.min(F.struct("_id", "_th", "pos")).alias("_s"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
-    pairs = marks.join(first, ["size", "hash"])
+    return _shared_runs(docs, marks.join(first, ["size", "hash"]))
+
+
+def _shared_runs(docs: DataFrame, pairs: DataFrame, least: int = 1) -> DataFrame:
+    """The runs of ``least`` units or more about each pair of (_id, _th, pos) and its first place _s; ``docs`` holds the hashes _h of units."""
     own = F.col("_id").eqNullSafe(F.col("_s._id")) & (F.col("_th") == F.col("_s._th"))
     pairs = pairs.filter(~own | (F.col("pos") - F.col("_s.pos") >= F.col("size")))
     pairs = pairs.groupBy("_id", "_th", F.col("_s._id").alias("_sid"), F.col("_s._th").alias("_sth"), (F.col("pos") - F.col("_s.pos")).alias("_d")).agg(F.collect_set("pos").alias("_p"))
@@ -86,13 +98,39 @@ def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         (F.coalesce(F.array_max(F.filter("_x", lambda b: b < p)), F.col("_lo") - 1) + 1).alias("first"),
         (F.coalesce(F.array_min(F.filter("_x", lambda b: b > p)), F.col("_hi")) - 1).alias("last"),
     ))
-    pairs = pairs.select("_id", "_th", "_sid", "_d", F.explode(F.array_distinct(runs)).alias("_r"))
+    pairs = pairs.select("_id", "_th", "_sid", "_d", F.explode(F.array_distinct(runs)).alias("_r")).filter(F.col("_r.last") - F.col("_r.first") + 1 >= least)
     run = F.struct("_r.first", "_r.last", F.col("_sid").alias("from_id"), (F.col("_r.first") - F.col("_d")).alias("from_line"))
     return pairs.groupBy("_id", "_th").agg(F.sort_array(F.collect_set(run)).alias("runs"))
 
 
+def repeated_spans(docs: DataFrame, *, gram: int = WORD_GRAM, window: int = WORD_WINDOW) -> DataFrame:
+    """(_id, _th, runs) by words for documents (_id, _th, _text): the runs of gram + window - 1 words or more to cut."""
+    least = gram + window - 1
+    docs = docs.filter(F.col("_text").isNotNull()).dropDuplicates(["_id", "_th"]).select("_id", "_th", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_w")).filter(F.size("_w") >= least)
+    docs = cut(docs.select("_id", "_th", F.transform("_w", lambda x: F.xxhash64(x)).alias("_h")))
+    # the hash's upper half, then the place: the least of a window tells where it stands, the first of equals
+    placed = F.transform("_h", lambda x, i: F.shiftright(x, 32) * F.lit(_PLACE) + i)
+    marks = docs.select("_id", "_th", "_h", placed.alias("_v"))
+    picked = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_v") - least + 1), lambda s: F.array_min(F.slice("_v", s, F.lit(window)))))
+    grams = F.transform(picked, lambda v: v.bitwiseAND(F.lit(_PLACE - 1)).cast("int"))
+    grams = F.transform(grams, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.slice("_h", p + 1, F.lit(gram))).alias("hash")))
+    marks = marks.select("_id", "_th", F.explode(grams).alias("_f")).select("_id", "_th", "_f.pos", "_f.hash", F.lit(gram).alias("size"))
+    first = marks.groupBy("hash").agg(F.min(F.struct("_id", "_th", "pos")).alias("_s"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
+    return _shared_runs(docs, marks.join(first, "hash"), least)
+
+
+def _without(text: Column, runs: Column) -> Column:
+    """A text without the words of the runs and the white space before each of them."""
+    pieces = F.arrays_zip(F.split(text, WORD, -1).alias("s"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"))
+    stay = F.filter(pieces, lambda x, i: ~F.exists(runs, lambda r: i.between(r["first"], r["last"])))
+    return F.array_join(F.transform(stay, lambda x: F.concat(x["s"], F.coalesce(x["w"], F.lit("")))), "")
+
+
 def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """All rows and columns of ``df``, the text without its later repeated runs, and __n_lines, __n_removed, __runs."""
+    """All rows and columns of ``df``, the text without its later repeated runs, and __n_lines, __n_removed, __runs.
+
+    __n_words_removed and __spans tell the same of the words that are cut from what stays; they count its words from 0.
+    """
     runs = repeated_runs(df, id_col=id_col, text_col=text_col, **kw)
     out = df.withColumn("__h", F.xxhash64(text_col))
     out = out.join(runs, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("__h") == F.col("_th")), "left")
@@ -102,4 +140,11 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     text = F.when(F.col("runs").isNull(), F.col(text_col)).otherwise(F.array_join("__stay", "\n"))
     n = F.coalesce(F.size("__lines"), F.lit(0))
     own = [F.col(c) for c in df.columns if c != text_col]
-    return out.select(*own, text.alias(text_col), n.cast("long").alias("__n_lines"), (n - F.coalesce(F.size("__stay"), F.lit(0))).cast("long").alias("__n_removed"), F.col("runs").alias("__runs"))
+    out = cut(out.select(*own, text.alias(text_col), n.cast("long").alias("__n_lines"), (n - F.coalesce(F.size("__stay"), F.lit(0))).cast("long").alias("__n_removed"), F.col("runs").alias("__runs"), "__h"))
+
+    spans = repeated_spans(out.select(F.col(id_col).alias("_id"), F.col("__h").alias("_th"), F.col(text_col).alias("_text")))
+    out = out.join(spans.withColumnRenamed("runs", "__spans"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("__h") == F.col("_th")), "left")
+    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("__spans")))
+    places = F.array_distinct(F.flatten(F.transform("__spans", lambda r: F.sequence(r["first"], r["last"]))))
+    gone = F.coalesce(F.size(places), F.lit(0)).cast("long")
+    return out.select(*own, text.alias(text_col), "__n_lines", "__n_removed", "__runs", gone.alias("__n_words_removed"), "__spans")

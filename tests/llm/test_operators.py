@@ -253,6 +253,16 @@ def test_long_runs_of_few_lines(spark):
     assert a in got[0] and b in got[0] and c in got[1]
 
 
+def test_passages_inside_lines(spark):
+    """A passage of 50 words goes from the midst of a later document's line, also across lines; one of 49 stays."""
+    a, b = words(4, 50), words(6, 49)
+    wrapped = "\n".join((a[:80], a[81:])) if a[80] == " " else a.replace(" ", "\n", 20)
+    rows = [(1, f"one {a} end"), (2, f"two {a} other"), (3, f"three x {wrapped} y"), (4, f"p {b} q"), (5, f"r {b} s"), (None, "null " + words(5, 70)), (6, "six " + words(5, 70) + " tail")]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["text"] for k in (1, 2, 3, 4, 5, None, 6)] == [rows[0][1], "two other", "three x y", rows[3][1], rows[4][1], rows[5][1], "six tail"]
+    assert [got[k]["__n_words_removed"] for k in (1, 2, 3, 4, 6)] == [0, 50, 50, 0, 70]
+
+
 def test_shards(spark, docs):
     import xxhash
 
