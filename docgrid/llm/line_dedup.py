@@ -2,7 +2,8 @@
 
 A gram is ``GRAM`` lines in a row; of every ``WINDOW`` grams in a row the one with the least hash
 is a fingerprint. Any run of GRAM + WINDOW - 1 lines that two places share has a common fingerprint;
-shorter runs are fingerprints themselves where they have ``LONG_WORDS`` words or more. Each fingerprint is joined to its first
+shorter runs are fingerprints themselves where they have ``LONG_WORDS`` words or more. So are the runs of
+GRAM + WINDOW - 1 lines about each gram, for the gram may stand earlier without them. Each fingerprint is joined to its first
 place in the corpus (by id, then text hash, then line); along that pair's diagonal the match is
 extended both ways, line by line, and the later run is deleted. A line is only deleted as the copy
 of a line at an earlier place, so the first of all copies stays. As a fingerprint's copies all
@@ -36,14 +37,10 @@ def _at(a: Column, i: Column) -> Column:
 
 
 def long_runs(counts: Column, size: int, long_words: int = LONG_WORDS) -> Column:
-    """Where ``size`` lines have ``long_words`` words together, and no fewer of them do."""
-
-    def total(i: Column, first: int, last: int) -> Column:
-        return sum((_at(counts, i + k) for k in range(first, last)), F.lit(0))
+    """Where ``size`` lines have ``long_words`` words together."""
 
     def needed(i: Column) -> Column:
-        enough = total(i, 0, size) >= long_words
-        return enough if size == 1 else enough & (total(i, 0, size - 1) < long_words) & (total(i, 1, size) < long_words)
+        return sum((_at(counts, i + k) for k in range(size)), F.lit(0)) >= long_words
 
     places = F.when(F.size(counts) >= size, F.sequence(F.lit(0), F.size(counts) - size)).otherwise(F.array().cast("array<int>"))
     return F.transform(F.filter(places, needed), lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos")))
@@ -61,8 +58,11 @@ def fingerprints(hashes: Column, long: Column, gram: int = GRAM, window: int = W
     grams_of = F.when(n > 0, grams).otherwise(F.array().cast("array<bigint>"))
     picked = F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - window)), least))).otherwise(F.array().cast("array<int>"))
     by_gram = F.transform(picked, lambda p: F.struct(F.lit(gram).alias("size"), p.alias("pos"), F.xxhash64(*(_at(hashes, p + k) for k in range(gram))).alias("hash")))
+    full = gram + window - 1
+    about = F.flatten(F.transform(picked, lambda p: F.array(*(F.struct(F.lit(full).alias("size"), (p - k).alias("pos"), F.xxhash64(*(_at(hashes, p - k + j) for j in range(full))).alias("hash")) for k in range(window)))))
+    about = F.filter(about, lambda f: (f["pos"] >= 0) & (f["pos"] + full <= F.size(hashes)))
     alone = F.transform(long, lambda r: F.struct(r["size"].alias("size"), r["pos"].alias("pos"), F.coalesce(*(F.when(r["size"] == m, F.xxhash64(*(_at(hashes, r["pos"] + k) for k in range(m)))) for m in range(1, gram + window - 1)), F.lit(0).cast("long")).alias("hash")))
-    return F.array_distinct(F.concat(by_gram, alone))
+    return F.array_distinct(F.concat(by_gram, about, alone))
 
 
 def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:

@@ -253,6 +253,18 @@ def test_long_runs_of_few_lines(spark):
     assert a in got[0] and b in got[0] and c in got[1]
 
 
+def test_runs_whose_gram_stands_earlier(spark):
+    """A run of three lines goes as a whole though an earlier document has two of them, and two lines though it has the long one."""
+    rows, line = [], lambda *k: " ".join(f"v{'_'.join(map(str, k))}_{j}" for j in range(20))
+    for t in range(40):
+        x, y, z = (line(t, k) for k in range(3))
+        rows += [(10 * t + 1, f"{y}\n{z}" if t % 2 else f"{x}\n{y}"), (10 * t + 2, f"a {t}\n{x}\n{y}\n{z}"), (10 * t + 3, f"b {t}\n{x}\n{y}\n{z}")]
+    long = " ".join(line(90, k) for k in range(3))
+    rows += [(901, long), (902, f"a\n{line(91)}\n{long}"), (903, f"b\n{line(91)}\n{long}")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[10 * t + 3] == f"b {t}" for t in range(40)) and got[903] == "b"
+
+
 def test_passages_inside_lines(spark):
     """A passage of 50 words goes from the midst of a later document's line, also across lines; one of 49 stays."""
     a, b = words(4, 50), words(6, 49)
