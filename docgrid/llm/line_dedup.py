@@ -79,13 +79,17 @@ def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     marks = docs.withColumn("_f", F.explode(fingerprints(F.col("_h"), F.col("_long"), gram, window))).select("_id", "_th", "_f.size", "_f.pos", "_f.hash")
     first = marks.groupBy("size", "hash").agg(F.min(F.struct("_id", "_th", "pos")).alias("_s"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
-    return _shared_runs(docs, marks.join(first, ["size", "hash"]))
+    return _shared_runs(docs, _others(marks.join(first, ["size", "hash"])))
+
+
+def _others(pairs: DataFrame) -> DataFrame:
+    """The pairs of two places that do not overlap."""
+    own = F.col("_id").eqNullSafe(F.col("_s._id")) & (F.col("_th") == F.col("_s._th"))
+    return pairs.filter(~own | (F.col("pos") - F.col("_s.pos") >= F.col("size")))
 
 
 def _shared_runs(docs: DataFrame, pairs: DataFrame, least: int = 1) -> DataFrame:
     """The runs of ``least`` units or more about each pair of (_id, _th, pos) and its first place _s; ``docs`` holds the hashes _h of units."""
-    own = F.col("_id").eqNullSafe(F.col("_s._id")) & (F.col("_th") == F.col("_s._th"))
-    pairs = pairs.filter(~own | (F.col("pos") - F.col("_s.pos") >= F.col("size")))
     pairs = pairs.groupBy("_id", "_th", F.col("_s._id").alias("_sid"), F.col("_s._th").alias("_sth"), (F.col("pos") - F.col("_s.pos")).alias("_d")).agg(F.collect_set("pos").alias("_p"))
 
     hashes = docs.select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), "_h")
@@ -106,17 +110,24 @@ def _shared_runs(docs: DataFrame, pairs: DataFrame, least: int = 1) -> DataFrame
 def repeated_spans(docs: DataFrame, *, gram: int = WORD_GRAM, window: int = WORD_WINDOW) -> DataFrame:
     """(_id, _th, runs) by words for documents (_id, _th, _text): the runs of gram + window - 1 words or more to cut."""
     least = gram + window - 1
-    docs = docs.filter(F.col("_text").isNotNull()).dropDuplicates(["_id", "_th"]).select("_id", "_th", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_w")).filter(F.size("_w") >= least)
-    docs = cut(docs.select("_id", "_th", F.transform("_w", lambda x: F.xxhash64(x)).alias("_h")))
+    texts = docs.filter(F.col("_text").isNotNull())
+    docs = texts.select("_id", "_th", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_w")).filter(F.size("_w") >= least)
+    docs = docs.select("_id", "_th", F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
     # the hash's upper half, then the place: the least of a window tells where it stands, the first of equals
     placed = F.transform("_h", lambda x, i: F.shiftright(x, 32) * F.lit(_PLACE) + i)
     marks = docs.select("_id", "_th", "_h", placed.alias("_v"))
     picked = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_v") - least + 1), lambda s: F.array_min(F.slice("_v", s, F.lit(window)))))
     grams = F.transform(picked, lambda v: v.bitwiseAND(F.lit(_PLACE - 1)).cast("int"))
     grams = F.transform(grams, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.slice("_h", p + 1, F.lit(gram))).alias("hash")))
-    marks = marks.select("_id", "_th", F.explode(grams).alias("_f")).select("_id", "_th", "_f.pos", "_f.hash", F.lit(gram).alias("size"))
+    marks = cut(marks.select("_id", "_th", F.explode(grams).alias("_f")).select("_id", "_th", "_f.pos", "_f.hash"))
     first = marks.groupBy("hash").agg(F.min(F.struct("_id", "_th", "pos")).alias("_s"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
-    return _shared_runs(docs, marks.join(first, "hash"), least)
+    pairs = cut(_others(marks.join(first, "hash").withColumn("size", F.lit(gram))).drop("size", "hash"))
+    # only documents of a pair are dealt out, as texts; their words are hashed after that
+    ends = pairs.select(F.col("_id").alias("_i"), F.col("_th").alias("_t")).union(pairs.select("_s._id", "_s._th")).distinct()
+    texts = texts.join(ends, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left_semi").dropDuplicates(["_id", "_th"])
+    words = texts.select("_id", "_th", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_w"))
+    words = cut(words.select("_id", "_th", F.transform("_w", lambda x: F.xxhash64(x)).alias("_h")))
+    return _shared_runs(words, pairs, least)
 
 
 def _without(text: Column, runs: Column) -> Column:
