@@ -1,161 +1,245 @@
 """Line dedup by winnowing over line hashes, then over words; DataFrame functions only.
 
-A gram is ``GRAM`` lines in a row; of every ``WINDOW`` grams in a row the one with the least hash
-is a fingerprint. Any run of GRAM + WINDOW - 1 lines that two places share has a common fingerprint;
-shorter runs are fingerprints themselves where they have ``LONG_WORDS`` words or more. So are the runs of
-GRAM + WINDOW - 1 lines about each gram, for the gram may stand earlier without them. Each fingerprint is joined to its first
-place in the corpus (by id, then text hash, then line); along that pair's diagonal the match is
-extended both ways, line by line, and the later run is deleted. A line is only deleted as the copy
-of a line at an earlier place, so the first of all copies stays. As a fingerprint's copies all
-point to one place, the rows grow with the lines and not with the square of a group.
+A gram is ``GRAM`` lines in a row; of every ``WINDOW`` grams in a row the one with the least hash is a
+fingerprint, so that any run of GRAM + WINDOW - 1 lines that two places share has a common one. Grams and
+single lines of ``LONG_WORDS`` words are fingerprints too. Each fingerprint is joined to its first place in
+the corpus (by id, then text hash, then line) and the match is extended both ways: by the line before and
+the line after, each wherever the fingerprint stands first together with that line. What lies further off
+has a fingerprint of its own. A later place is deleted where it is extended, or has ``LONG_WORDS`` words.
+
+So of lines this is guaranteed: every run of three lines or more, and every run of one or two lines with 50
+words together, that stands at an earlier place as a whole is deleted; shorter runs stay. A line is only
+deleted as the copy of a line at an earlier place, so the first of all copies stays. Blank lines are part
+of a run, but are never deleted before a line that stays.
 
 What then stays is winnowed once more by words, without regard to lines: of every ``WORD_WINDOW`` words in a row
 the one with the least hash begins a gram of ``WORD_GRAM`` words, and any run of ``LONG_WORDS`` words that
-two places share has a common gram. Matches are extended word by word, and of the later place the
-shared words are cut, with the white space before each, where they are ``LONG_WORDS`` or more.
+two places share has a common gram. Grams are joined to their first place, those that follow each other on
+one diagonal are one match, and its ends are extended word by word, which takes WORD_WINDOW - 1 words of
+either text. Of the later place the shared words are cut, with the white space before each, where they are
+``LONG_WORDS`` or more. A gram of words is paired with its first place only: where that place shares fewer
+words than a later one does, the rest of the longer match stays.
 
-Defined cases: null is a text without lines and stays null; lines are compared without spaces at
+All of it is rows of bounded size: a fingerprint's copies all point to one place, a match holds the hashes of
+48 words about each end, and intervals are merged by windows over a document's rows, so that work grows
+with the lines and words, also where they are all alike.
+
+Defined cases: null is a text without lines and stays null; lines are compared without white space at
 their ends; rows equal in id and text are one document and all get its result; a null id comes
-first; an empty table gives no rows; columns beside id and text pass through and are not read.
+first; an empty table gives no rows; columns beside id and text pass through and are not read, whatever
+their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import WORD, cut
+from docgrid.llm.common import SPACE, WORD, cut
 
 GRAM, WINDOW, LONG_WORDS = 2, 2, 50
 #: Their sum less one is LONG_WORDS.
 WORD_GRAM, WORD_WINDOW = 26, 25
 _PLACE = 1 << 31
+_DOC = ("_id", "_th")
 
 
-def _at(a: Column, i: Column) -> Column:
-    return F.get(a, i.cast("int"))
+def _ahead(a: Column, n: int) -> Column:
+    return F.slice(a, n + 1, F.size(a))
 
 
-def long_runs(counts: Column, size: int, long_words: int = LONG_WORDS) -> Column:
-    """Where ``size`` lines have ``long_words`` words together."""
+def _back(a: Column, kind: str) -> Column:
+    return F.concat(F.array(F.lit(None).cast(kind)), a)
 
-    def needed(i: Column) -> Column:
-        return sum((_at(counts, i + k) for k in range(size)), F.lit(0)) >= long_words
 
-    places = F.when(F.size(counts) >= size, F.sequence(F.lit(0), F.size(counts) - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.filter(places, needed), lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos")))
+def _same(a: str, b: str, left: DataFrame, right: DataFrame) -> Column:
+    return left[f"{a}id"].eqNullSafe(right[f"{b}id"]) & (left[f"{a}th"] == right[f"{b}th"])
 
 
-def fingerprints(hashes: Column, long: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """The fingerprints of a document: an array of (size, pos, hash); ``long`` holds (size, pos) of long runs."""
-    n = F.size(hashes) - gram + 1
-    grams = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(_at(hashes, i + k) for k in range(gram))))
+# --- fingerprints ----------------------------------------------------------------------------
 
-    def least(s: Column) -> Column:
-        part = F.slice(grams_of, s + 1, F.lit(window))
-        return s + F.array_position(part, F.array_min(part)).cast("int") - 1
 
-    grams_of = F.when(n > 0, grams).otherwise(F.array().cast("array<bigint>"))
-    picked = F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - window)), least))).otherwise(F.array().cast("array<int>"))
-    by_gram = F.transform(picked, lambda p: F.struct(F.lit(gram).alias("size"), p.alias("pos"), F.xxhash64(*(_at(hashes, p + k) for k in range(gram))).alias("hash")))
-    full = gram + window - 1
-    about = F.flatten(F.transform(picked, lambda p: F.array(*(F.struct(F.lit(full).alias("size"), (p - k).alias("pos"), F.xxhash64(*(_at(hashes, p - k + j) for j in range(full))).alias("hash")) for k in range(window)))))
-    about = F.filter(about, lambda f: (f["pos"] >= 0) & (f["pos"] + full <= F.size(hashes)))
-    alone = F.transform(long, lambda r: F.struct(r["size"].alias("size"), r["pos"].alias("pos"), F.coalesce(*(F.when(r["size"] == m, F.xxhash64(*(_at(hashes, r["pos"] + k) for k in range(m)))) for m in range(1, gram + window - 1)), F.lit(0).cast("long")).alias("hash")))
-    return F.array_distinct(F.concat(by_gram, about, alone))
+def line_hashes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _th, _h, _n): the hashes and word counts of each document's lines."""
+    docs = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.split(F.col(text_col), "\n", -1).alias("_l"))
+    lines = F.transform("_l", lambda x: F.struct(F.xxhash64(F.btrim(x, F.lit(" \t\x0b\f\r"))).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    docs = docs.select(*_DOC, lines.alias("_l"))
+    return docs.select(*_DOC, F.col("_l.h").alias("_h"), F.col("_l.n").alias("_n"))
 
 
-def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
-    """(_id, _th, runs): for each document with repeated lines, the runs to delete.
+def line_marks(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """(_id, _th, pos, size, hash, long, before, after): the fingerprints, and the hashes of the lines about them."""
+    h, n = F.col("_h"), F.col("_n")
+    gram = F.zip_with(h, _ahead(h, 1), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+    rows = _let(gram, lambda g: F.arrays_zip(
+        h.alias("h"), n.alias("n"), g.alias("g"), _back(h, "bigint").alias("h0"), _ahead(h, 1).alias("h1"), _ahead(h, 2).alias("h2"),
+        _ahead(n, 1).alias("n1"), _back(g, "bigint").alias("g0"), _ahead(g, 1).alias("g1"),
+    ))
+    rows = docs.select(*_DOC, F.posexplode(rows).alias("pos", "_r")).select(*_DOC, "pos", "_r.*").filter(F.col("h").isNotNull())
+    long, longs = F.col("n") >= long_words, F.col("n") + F.coalesce("n1", F.lit(0)) >= long_words
+    # the least of a window of two grams: the first of equals; a gram without neighbours is its own window
+    least = (F.col("g") <= F.col("g1")) | (F.col("g") < F.col("g0")) | (F.col("g0").isNull() & F.col("g1").isNull())
+    two = F.when(F.col("g").isNotNull() & (F.coalesce(least, F.lit(False)) | longs), F.struct(F.lit(2).alias("size"), F.col("g").alias("hash"), longs.alias("long"), F.col("h0").alias("before"), F.col("h2").alias("after")))
+    one = F.when(long, F.struct(F.lit(1).alias("size"), F.col("h").alias("hash"), F.lit(True).alias("long"), F.col("h0").alias("before"), F.col("h1").alias("after")))
+    return rows.select(*_DOC, "pos", F.explode(F.filter(F.array(two, one), lambda m: m.isNotNull())).alias("_m")).select(*_DOC, "pos", "_m.*")
 
-    A run is (first, last, from_id, from_line): 0-based lines of the document, and where it stands first.
-    """
-    lines = F.split(F.col(text_col), "\n", -1)
-    docs = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), lines.alias("_lines"))
-    counts = F.transform("_lines", lambda x: F.regexp_count(x, F.lit(WORD)))
-    docs = docs.select("_id", "_th", F.transform("_lines", lambda x: F.xxhash64(F.trim(x))).alias("_h"), counts.alias("_n"))
-    docs = docs.select("_id", "_th", "_h", F.concat(*(long_runs(F.col("_n"), m, long_words) for m in range(1, gram + window - 1))).alias("_long"))
-    docs = cut(docs.dropDuplicates(["_id", "_th"]))
 
-    marks = docs.withColumn("_f", F.explode(fingerprints(F.col("_h"), F.col("_long"), gram, window))).select("_id", "_th", "_f.size", "_f.pos", "_f.hash")
-    first = marks.groupBy("size", "hash").agg(F.min(F.struct("_id", "_th", "pos")).alias("_s"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
-    return _shared_runs(docs, _others(marks.join(first, ["size", "hash"])))
+def _shared(marks: DataFrame) -> DataFrame:
+    """The marks whose hash stands more than once; counted before they are dealt out."""
+    often = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(F.col("hash").alias("_often"))
+    return cut(marks.join(often, F.col("hash") == F.col("_often"), "left_semi"))
 
 
-def _others(pairs: DataFrame) -> DataFrame:
-    """The pairs of two places that do not overlap."""
+def _first(marks: DataFrame, key: Column, apart: Column) -> DataFrame:
+    """The marks with ``key`` that have an earlier place, which is ``_s``; the two do not overlap."""
+    marks = marks.withColumn("_key", key).filter(F.col("_key").isNotNull())
+    first = marks.groupBy("_key").agg(F.min(F.struct("_id", "_th", "pos")).alias("_s"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(F.col("_key").alias("_k"), "_s")
     own = F.col("_id").eqNullSafe(F.col("_s._id")) & (F.col("_th") == F.col("_s._th"))
-    return pairs.filter(~own | (F.col("pos") - F.col("_s.pos") >= F.col("size")))
-
-
-def _shared_runs(docs: DataFrame, pairs: DataFrame, least: int = 1) -> DataFrame:
-    """The runs of ``least`` units or more about each pair of (_id, _th, pos) and its first place _s; ``docs`` holds the hashes _h of units."""
-    pairs = pairs.groupBy("_id", "_th", F.col("_s._id").alias("_sid"), F.col("_s._th").alias("_sth"), (F.col("pos") - F.col("_s.pos")).alias("_d")).agg(F.collect_set("pos").alias("_p"))
-
-    hashes = docs.select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), "_h")
-    pairs = pairs.join(hashes, F.col("_sid").eqNullSafe(F.col("_i")) & (F.col("_sth") == F.col("_t"))).drop("_i", "_t").withColumnRenamed("_h", "_sh")
-    pairs = pairs.join(hashes, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))).drop("_i", "_t")
-    pairs = pairs.withColumns({"_lo": F.greatest(F.lit(0), F.col("_d")), "_hi": F.least(F.size("_h"), F.size("_sh") + F.col("_d"))})
-    breaks = F.filter(F.sequence("_lo", F.col("_hi") - 1), lambda j: _at(F.col("_h"), j) != _at(F.col("_sh"), j - F.col("_d")))
-    pairs = pairs.withColumn("_x", breaks)
-    runs = F.transform("_p", lambda p: F.struct(
-        (F.coalesce(F.array_max(F.filter("_x", lambda b: b < p)), F.col("_lo") - 1) + 1).alias("first"),
-        (F.coalesce(F.array_min(F.filter("_x", lambda b: b > p)), F.col("_hi")) - 1).alias("last"),
-    ))
-    pairs = pairs.select("_id", "_th", "_sid", "_d", F.explode(F.array_distinct(runs)).alias("_r")).filter(F.col("_r.last") - F.col("_r.first") + 1 >= least)
-    run = F.struct("_r.first", "_r.last", F.col("_sid").alias("from_id"), (F.col("_r.first") - F.col("_d")).alias("from_line"))
-    return pairs.groupBy("_id", "_th").agg(F.sort_array(F.collect_set(run)).alias("runs"))
+    return marks.join(first, F.col("_key") == F.col("_k")).filter(~own | (F.col("pos") - F.col("_s.pos") >= apart))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """(_id, _th, first, last): the intervals of a document, those that overlap or touch as one."""
+    rows = rows.groupBy(*_DOC, "first").agg(F.max("last").alias("last"))
+    order = W.partitionBy(*_DOC).orderBy("first")
+    rows = rows.withColumn("_reach", F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("_run", F.count(F.when(F.col("_reach").isNull() | (F.col("first") > F.col("_reach") + 1), 1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.groupBy(*_DOC, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+
+
+def _by_document(runs: DataFrame) -> DataFrame:
+    return runs.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+
+
+def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
+    """(_id, _th, runs): for each document with repeated lines, the runs (first, last) of 0-based lines to delete."""
+    marks = _shared(line_marks(cut(line_hashes(df, id_col, text_col)), long_words))
+    place = F.struct("size", "hash")
+    copies = _first(marks, place, F.col("size")).filter("long").select(*_DOC, F.col("pos").alias("first"), (F.col("pos") + F.col("size") - 1).alias("last"))
+    back = _first(marks, F.when(F.col("before").isNotNull(), F.struct("size", "hash", "before")), F.col("size") + 1)
+    ahead = _first(marks, F.when(F.col("after").isNotNull(), F.struct("size", "hash", "after")), F.col("size") + 1)
+    back = back.select(*_DOC, (F.col("pos") - 1).alias("first"), (F.col("pos") + F.col("size") - 1).alias("last"))
+    ahead = ahead.select(*_DOC, F.col("pos").alias("first"), (F.col("pos") + F.col("size")).alias("last"))
+    # one line with its neighbour is a run of two: long, or no run
+    runs = copies.unionByName(back.filter(F.col("last") - F.col("first") >= GRAM)).unionByName(ahead.filter(F.col("last") - F.col("first") >= GRAM))
+    return _by_document(_merged(runs))
+
+
+# --- words -----------------------------------------------------------------------------------
+
+
+def _word_hashes(text: str) -> Column:
+    return F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _least(v: Column, window: int, width: int = 1) -> Column:
+    """The least of each window of ``window`` values, from those of windows of ``width``, by doubling."""
+    if width == window:
+        return v
+    step = min(width, window - width)
+
+    def both(v: Column) -> Column:
+        n = F.greatest(F.lit(0), F.size(v) - step)
+        return F.zip_with(F.slice(v, 1, n), F.slice(v, step + 1, n), lambda a, b: F.least(a, b))
+
+    return _least(_let(v, both), window, width + step)
+
+
+def word_marks(texts: DataFrame, gram: int = WORD_GRAM, window: int = WORD_WINDOW) -> DataFrame:
+    """(_id, _th, pos, hash) of the grams of words that are fingerprints, for documents (_id, _th, _text)."""
+
+    def marks(h: Column) -> Column:
+        # the hash's upper half, then the place: the least of a window tells where it stands, the first of equals
+        starts = F.slice(h, 1, F.greatest(F.lit(0), F.size(h) - gram + 1))
+        placed = F.transform(starts, lambda x, i: F.shiftright(x, 32) * F.lit(_PLACE) + i)
+        at = F.transform(F.array_distinct(_least(placed, window)), lambda v: v.bitwiseAND(F.lit(_PLACE - 1)).cast("int"))
+        return F.transform(at, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.slice(h, p + 1, F.lit(gram))).alias("hash")))
+
+    texts = texts.filter(F.octet_length("_text") >= 2 * (gram + window) - 3)
+    return texts.select(*_DOC, F.explode(_let(_word_hashes("_text"), marks)).alias("_f")).select(*_DOC, "_f.*")
+
+
+def _equal(a: Column, b: Column) -> Column:
+    """The number of equal values that two arrays of one length begin with."""
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: x == y), False)
+    return F.when(differ == 0, F.size(a)).otherwise(differ - 1).cast("int")
 
 
 def repeated_spans(docs: DataFrame, *, gram: int = WORD_GRAM, window: int = WORD_WINDOW) -> DataFrame:
     """(_id, _th, runs) by words for documents (_id, _th, _text): the runs of gram + window - 1 words or more to cut."""
-    least = gram + window - 1
+    around, least = window - 1, gram + window - 1
     texts = docs.filter(F.col("_text").isNotNull())
-    docs = texts.select("_id", "_th", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_w")).filter(F.size("_w") >= least)
-    docs = docs.select("_id", "_th", F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
-    # the hash's upper half, then the place: the least of a window tells where it stands, the first of equals
-    placed = F.transform("_h", lambda x, i: F.shiftright(x, 32) * F.lit(_PLACE) + i)
-    marks = docs.select("_id", "_th", "_h", placed.alias("_v"))
-    picked = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_v") - least + 1), lambda s: F.array_min(F.slice("_v", s, F.lit(window)))))
-    grams = F.transform(picked, lambda v: v.bitwiseAND(F.lit(_PLACE - 1)).cast("int"))
-    grams = F.transform(grams, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.slice("_h", p + 1, F.lit(gram))).alias("hash")))
-    marks = cut(marks.select("_id", "_th", F.explode(grams).alias("_f")).select("_id", "_th", "_f.pos", "_f.hash"))
-    first = marks.groupBy("hash").agg(F.min(F.struct("_id", "_th", "pos")).alias("_s"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
-    pairs = cut(_others(marks.join(first, "hash").withColumn("size", F.lit(gram))).drop("size", "hash"))
-    # only documents of a pair are dealt out, as texts; their words are hashed after that
-    ends = pairs.select(F.col("_id").alias("_i"), F.col("_th").alias("_t")).union(pairs.select("_s._id", "_s._th")).distinct()
-    texts = texts.join(ends, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left_semi").dropDuplicates(["_id", "_th"])
-    words = texts.select("_id", "_th", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_w"))
-    words = cut(words.select("_id", "_th", F.transform("_w", lambda x: F.xxhash64(x)).alias("_h")))
-    return _shared_runs(words, pairs, least)
-
-
-def _without(text: Column, runs: Column) -> Column:
-    """A text without the words of the runs and the white space before each of them."""
-    pieces = F.arrays_zip(F.split(text, WORD, -1).alias("s"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"))
-    stay = F.filter(pieces, lambda x, i: ~F.exists(runs, lambda r: i.between(r["first"], r["last"])))
-    return F.array_join(F.transform(stay, lambda x: F.concat(x["s"], F.coalesce(x["w"], F.lit("")))), "")
-
-
-def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    pairs = _first(_shared(word_marks(texts, gram, window)), F.col("hash"), F.lit(gram))
+    pairs = pairs.select(*_DOC, "pos", F.col("_s._id").alias("_sid"), F.col("_s._th").alias("_sth"), (F.col("pos") - F.col("_s.pos")).alias("_d")).distinct()
+    diagonal = W.partitionBy(*_DOC, "_sid", "_sth", "_d").orderBy("pos")
+    pairs = pairs.withColumn("_new", F.coalesce(F.col("pos") - F.lag("pos").over(diagonal) > gram, F.lit(True)))
+    pairs = pairs.withColumn("_run", F.count(F.when(F.col("_new"), 1)).over(diagonal.rowsBetween(W.unboundedPreceding, 0)))
+    runs = cut(pairs.groupBy(*_DOC, "_sid", "_sth", "_d", "_run").agg(F.min("pos").alias("_lo"), (F.max("pos") + gram).alias("_hi")))
+
+    # only documents of a match are dealt out: the words about its ends are cut from each of the two
+    ends = runs.select(*_DOC).union(runs.select("_sid", "_sth")).distinct().withColumnsRenamed({"_id": "_eid", "_th": "_eth"})
+    own = texts.join(ends, _same("_", "_e", texts, ends), "left_semi")
+    words = cut(own.groupBy(*_DOC).agg(F.first("_text").alias("_text")).select(F.col("_id").alias("_wid"), F.col("_th").alias("_wth"), _word_hashes("_text").alias("_h")))
+
+    def cut_out(lo: Column, hi: Column, a: str, b: str) -> list[Column]:
+        start = F.greatest(F.lit(0), lo - around)
+        return [F.reverse(F.slice("_h", start + 1, lo - start)).alias(a), F.slice("_h", hi + 1, F.lit(around)).alias(b)]
+
+    keep = (*_DOC, "_sid", "_sth", "_d", "_lo", "_hi")
+    runs = runs.join(words, _same("_", "_w", runs, words)).select(*keep, *cut_out(F.col("_lo"), F.col("_hi"), "_a", "_b"))
+    runs = runs.join(words, _same("_s", "_w", runs, words)).select(*keep, "_a", "_b", *cut_out(F.col("_lo") - F.col("_d"), F.col("_hi") - F.col("_d"), "_sa", "_sb"))
+
+    def short(a: str, b: str) -> Column:
+        return F.slice(a, 1, F.least(F.size(a), F.size(b)))
+
+    runs = runs.select(*_DOC, (F.col("_lo") - _equal(short("_a", "_sa"), short("_sa", "_a"))).alias("first"), (F.col("_hi") - 1 + _equal(short("_b", "_sb"), short("_sb", "_b"))).alias("last"))
+    return _by_document(_merged(runs.filter(F.col("last") - F.col("first") + 1 >= least)))
+
+
+# --- texts -----------------------------------------------------------------------------------
+
+
+def _between(pieces: Column, runs: Column) -> Column:
+    """The pieces outside of the sorted, separate runs, in linear time."""
+
+    def stay(pieces: Column) -> Column:
+        ends = F.concat(F.transform(runs, lambda r: r["first"]), F.array(F.size(pieces)))
+        begins = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["last"] + 1))
+        return F.flatten(F.zip_with(begins, ends, lambda b, e: F.slice(pieces, b + 1, e - b)))
+
+    return _let(pieces, stay)
+
+
+def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
     """All rows and columns of ``df``, the text without its later repeated runs, and __n_lines, __n_removed, __runs.
 
     __n_words_removed and __spans tell the same of the words that are cut from what stays; they count its words from 0.
+    Columns of the input with one of these five names are replaced.
     """
-    runs = repeated_runs(df, id_col=id_col, text_col=text_col, **kw)
-    out = df.withColumn("__h", F.xxhash64(text_col))
-    out = out.join(runs, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("__h") == F.col("_th")), "left")
-    out = out.withColumn("__lines", F.split(text_col, "\n", -1))
-    stay = F.filter("__lines", lambda x, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))
-    out = out.withColumn("__stay", F.when(F.col("runs").isNull(), F.col("__lines")).otherwise(stay))
-    text = F.when(F.col("runs").isNull(), F.col(text_col)).otherwise(F.array_join("__stay", "\n"))
-    n = F.coalesce(F.size("__lines"), F.lit(0))
-    own = [F.col(c) for c in df.columns if c != text_col]
-    out = cut(out.select(*own, text.alias(text_col), n.cast("long").alias("__n_lines"), (n - F.coalesce(F.size("__stay"), F.lit(0))).cast("long").alias("__n_removed"), F.col("runs").alias("__runs"), "__h"))
-
-    spans = repeated_spans(out.select(F.col(id_col).alias("_id"), F.col("__h").alias("_th"), F.col(text_col).alias("_text")))
-    out = out.join(spans.withColumnRenamed("runs", "__spans"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("__h") == F.col("_th")), "left")
-    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("__spans")))
-    places = F.array_distinct(F.flatten(F.transform("__spans", lambda r: F.sequence(r["first"], r["last"]))))
-    gone = F.coalesce(F.size(places), F.lit(0)).cast("long")
-    return out.select(*own, text.alias(text_col), "__n_lines", "__n_removed", "__runs", gone.alias("__n_words_removed"), "__spans")
+    told = ("__n_lines", "__n_removed", "__runs", "__n_words_removed", "__spans")
+    rest = [c for c in df.columns if c not in (id_col, text_col, *told)]
+    base = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*(F.col(c) for c in rest)).alias("_rest") if rest else F.lit(0).alias("_rest"), F.xxhash64(text_col).alias("_th"))
+    runs = repeated_runs(base, id_col="_id", text_col="_text", long_words=long_words).withColumnsRenamed({"_id": "_rid", "_th": "_rth", "runs": "_runs"})
+    out = base.join(runs, _same("_", "_r", base, runs), "left")
+    n = F.coalesce(F.regexp_count("_text", F.lit("\n")) + 1, F.lit(0)).cast("long")
+    gone = F.coalesce(F.aggregate("_runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1), F.lit(0)).cast("long")
+    text = F.when(F.col("_runs").isNull(), F.col("_text")).otherwise(F.array_join(_between(F.split("_text", "\n", -1), F.col("_runs")), "\n"))
+    out = cut(out.select("_id", "_th", "_rest", text.alias("_text"), n.alias("_n"), gone.alias("_gone"), "_runs"))
+
+    spans = repeated_spans(out.select("_id", "_th", "_text")).withColumnsRenamed({"_id": "_rid", "_th": "_rth", "runs": "_spans"})
+    out = out.join(spans, _same("_", "_r", out, spans), "left")
+    # each word with the white space before it
+    words = F.regexp_extract_all("_text", F.lit(f"[{SPACE}]*+{WORD}+|[{SPACE}]++$"), F.lit(0))
+    text = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.array_join(_between(words, F.col("_spans")), ""))
+    gone = F.coalesce(F.aggregate("_spans", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1), F.lit(0)).cast("long")
+    kept = {id_col: F.col("_id"), text_col: text}
+    kept |= {c: F.col("_rest")[c] for c in rest}
+    return out.select(*(kept[c].alias(c) for c in df.columns if c not in told), F.col("_n").alias("__n_lines"), F.col("_gone").alias("__n_removed"), F.col("_runs").alias("__runs"), gone.alias("__n_words_removed"), F.col("_spans").alias("__spans"))

@@ -48,7 +48,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a document: its lines, those removed, the runs removed, the digest of what stays, and the words cut inside lines."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    run = F.transform("__runs", lambda r: F.concat(r["first"].cast("string"), F.lit("-"), r["last"].cast("string"), F.lit("="), F.coalesce(r["from_id"].cast("string"), F.lit("")), F.lit(":"), r["from_line"].cast("string")))
+    run = F.transform("__runs", lambda r: F.concat(r["first"].cast("string"), F.lit("-"), r["last"].cast("string")))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.coalesce(F.array_join(run, ","), F.lit("")).alias("runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.col("__n_words_removed").alias("n_words_removed"))
 
 
