@@ -8,7 +8,7 @@ gives its training position, and documents are range-sorted by position. DataFra
 
 Defined cases: a null text has size 0, takes nothing and has no position; null is a source of its
 own, the last; a source without words has target 0; equal rows are placed one after another; an
-empty table gives no rows; other columns of the input are not read.
+empty table gives no rows; the plan reads no other columns of the input, the mix passes them on.
 """
 
 from __future__ import annotations
@@ -72,22 +72,23 @@ def source_targets(sizes: DataFrame, curriculum: Sequence[Knots] = CURRICULUM, s
     return s.select("source", "source_size", "number", target.alias("target"))
 
 
-def plan_mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", curriculum: Sequence[Knots] = CURRICULUM, share: float = 1.5, passes: int = 2, sort: bool = True) -> DataFrame:
-    """One row a row of ``df``, by position: id, size, source_size, target, taken, takes, places, position.
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
 
-    ``takes`` and ``places`` hold the words taken and the position of each pass (null place:
-    nothing taken). The last document a source's demand reaches is cut to the words it still
-    needs. Hot sources are split into ranges of their hashes: only range sums meet in one place.
+
+def _place(base: DataFrame, keys: Sequence[str], curriculum: Sequence[Knots], share: float, passes: int) -> DataFrame:
+    """``base`` (_id, source, size and ``keys``), a row each, with source_size, target, takes and places.
+
+    Equal rows are counted before they are ordered. Hot sources are split into ranges of their
+    hashes: only range sums meet in one place.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    base = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"))
-    docs = base.groupBy("_id", "source", "size").agg(F.count(F.lit(1)).alias("_n"))
+    docs = base.groupBy("_id", "source", "size", *keys).agg(F.count(F.lit(1)).alias("_n"))
     docs = docs.withColumn("_h", F.md5(row_key("_id").cast("binary"))).withColumn("_b", F.substring("_h", 1, 3))
     ranges = docs.groupBy("source", "_b").agg(F.sum(F.col("size") * F.col("_n")).alias("_m"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("_m").alias("source_size")), curriculum, share, float(passes))
     ranges = ranges.select("source", "_b", (F.sum("_m").over(W.partitionBy("source").orderBy("_b")) - F.col("_m")).alias("_from"))
     ranges = ranges.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    own = W.partitionBy("source", "_b").orderBy("_h", "_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    own = W.partitionBy("source", "_b").orderBy("_h", "_id", "size", *keys).rowsBetween(W.unboundedPreceding, 0)
     docs = docs.withColumn("_at", F.sum(F.col("size") * F.col("_n")).over(own) - F.col("size") * F.col("_n"))
     ranges = ranges.withColumnsRenamed({"source": "_s", "_b": "_r"})
     docs = docs.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_r")))
@@ -102,26 +103,36 @@ def plan_mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         takes.append(take)
         middle = (at.cast("double") + take / F.lit(2.0)) / F.col("target")
         places.append(F.when(take > 0, position(F.least(F.lit(1.0), middle), F.col("number"), curriculum)))
-    taken = takes[0]
-    for t in takes[1:]:
-        taken = taken + t
-    out = docs.select(F.col("_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), F.array(*takes).alias("takes"), F.array(*places).alias("places"), places[0].alias("position"))
+    return docs.withColumns({"takes": F.array(*takes), "places": F.array(*places)})
+
+
+def plan_mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", curriculum: Sequence[Knots] = CURRICULUM, share: float = 1.5, passes: int = 2, sort: bool = True) -> DataFrame:
+    """One row a row of ``df``, by position: id, size, source_size, target, taken, takes, places, position.
+
+    ``takes`` and ``places`` hold the words taken and the position of each pass (null place:
+    nothing taken). The last document a source's demand reaches is cut to the words it still needs.
+    """
+    base = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), _size(text_col).alias("size"))
+    docs = _place(base, [], curriculum, share, passes)
+    taken = F.aggregate("takes", F.lit(0).cast("long"), lambda a, t: a + t)
+    out = docs.select(F.col("_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), "takes", "places", F.get("places", F.lit(0)).alias("position"))
     if not sort:
         return out
     by = [F.col("position").asc_nulls_last(), F.col(id_col).asc_nulls_last()]
     return out.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
-def mix_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", curriculum: Sequence[Knots] = CURRICULUM, share: float = 1.5) -> DataFrame:
-    """The training order: the documents of ``df``, all columns, once for each pass that takes them.
+def mix_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", curriculum: Sequence[Knots] = CURRICULUM, share: float = 1.5, passes: int = 2) -> DataFrame:
+    """The training order: the rows of ``df``, all columns, once for each pass that takes them.
 
-    Whole documents go in, also the last that a source's demand reaches. Rows with equal id,
-    source and size share the decision of the first of them.
+    Whole documents go in, also the last that a source's demand reaches, so a source's words come
+    to its target within one document. Rows that are equal in all columns travel as one, with the
+    position of each pass of each of them. Columns of type map have no hash and are refused by Spark.
     """
-    plan = plan_mix(df, id_col=id_col, text_col=text_col, source_col=source_col, curriculum=curriculum, share=share, sort=False)
-    plan = plan.groupBy(F.col(id_col).alias("__i"), F.col(source_col).alias("__s"), F.col("size").alias("__z")).agg(F.min_by("places", F.struct("position")).alias("__p"))
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    out = df.withColumn("__z0", size)
-    out = out.join(plan, F.col(id_col).eqNullSafe(F.col("__i")) & F.col(source_col).eqNullSafe(F.col("__s")) & (F.col("__z0") == F.col("__z")))
-    out = out.withColumn("__t", F.explode(F.filter("__p", lambda p: p.isNotNull())))
-    return out.repartitionByRange("__t", id_col).sortWithinPartitions("__t", id_col).select(*df.columns)
+    columns = [F.col(c) for c in df.columns]
+    rows = df.select(F.struct(*columns).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), F.xxhash64(*columns).alias("_k1"), F.xxhash64(F.lit(1), *columns).alias("_k2"))
+    plan = _place(rows.drop("_row"), ["_k1", "_k2"], curriculum, share, passes)
+    plan = plan.select("_k1", "_k2", F.col("_id").alias("_i"), F.explode(F.filter("places", lambda p: p.isNotNull())).alias("_t"))
+    rows = rows.groupBy("_k1", "_k2").agg(F.first("_row").alias("_row"))
+    out = rows.join(plan, ["_k1", "_k2"])
+    return out.repartitionByRange("_t", "_i", "_k1").sortWithinPartitions("_t", "_i", "_k1").select("_row.*")
