@@ -2,9 +2,9 @@
 
 First the language family, then the language within it: between each two families, and between
 each two languages of a family, stands a linear support vector machine; votes decide, margins
-break ties. Features are byte n-grams of the folded letters of the whole text, hashed, square-rooted
+break ties. Features are byte n-grams of the letters of the whole text in lower case, hashed, square-rooted
 and scaled to length 1. The machines are trained by dual coordinate descent on the driver, over a
-sample of labelled rows of at most about ``SAMPLE`` a language, drawn by a hash of the key.
+sample of labelled rows of at most about ``SAMPLE`` a language, drawn by a hash of key and text.
 
 Defined cases: ``und`` with score 0 for a null text and one without a letter, and for all texts when
 nothing is labelled; with one learned language every text with a letter is that language, score 1; a
@@ -22,11 +22,9 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import folded
-
 #: Families of languages by their ISO 639-1 codes.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy yi",
@@ -50,27 +48,40 @@ SAMPLE, BUCKETS, SIZES = 400, 1 << 14, (1, 2, 3, 4)
 _SLICE, _ROWS = 500_000, 64
 
 
-def features(texts: list[bytes]) -> np.ndarray:
-    """Rows of hashed n-gram features, of length 1 (0 for a text without letters)."""
+def letters(text: Column) -> Column:
+    """A text's letters in lower case, all else as single spaces."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")
+
+
+def _grams(data: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each run of ``n`` bytes."""
+    m = len(data) - n + 1
+    h = np.zeros(m, np.uint32)
+    for k in range(n):
+        h = h * np.uint32(0x01000193) + data[k : k + m].astype(np.uint32)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + np.uint32(n)
+    return (h ^ (h >> np.uint32(12))) % BUCKETS
+
+
+def features(texts: list[bytes], piece: int = _SLICE) -> np.ndarray:
+    """Rows of hashed n-gram features of ``letters``, of length 1 (0 for a text without letters).
+
+    A text counts as a whole between two spaces; it is read in pieces that overlap by what an
+    n-gram needs, and each n-gram is counted in one of them.
+    """
     out = np.zeros((len(texts), BUCKETS), np.float32)
     for i, text in enumerate(texts):
-        data, counts = np.frombuffer(text, np.uint8), np.zeros(BUCKETS)
-        for a in range(0, len(data), _SLICE):
-            low = folded(data[a : a + _SLICE + max(SIZES) - 1])
-            letter = ((low >= 97) & (low <= 122)) | (low >= 0x80)
-            low = np.where(letter, low, 32)
-            low = np.concatenate([[32], low[1:][~((low[1:] == 32) & (low[:-1] == 32))] if len(low) > 1 else low, [32]]) if a == 0 else low
+        text = text.strip(b" ")
+        if not text:
+            continue
+        data, counts = np.frombuffer(b" " + text + b" ", np.uint8), np.zeros(BUCKETS)
+        for a in range(0, len(data), piece):
             for n in SIZES:
-                m = len(low) - n + 1
-                if m <= 0:
-                    continue
-                h = np.zeros(m, np.uint32)
-                for k in range(n):
-                    h = h * np.uint32(0x01000193) + low[k : k + m].astype(np.uint32)
-                h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + np.uint32(n)
-                counts += np.bincount((h ^ (h >> np.uint32(12))) % BUCKETS, minlength=BUCKETS)
+                part = data[a : a + piece + n - 1]
+                if len(part) >= n:
+                    counts += np.bincount(_grams(part, n), minlength=BUCKETS)
         row = np.sqrt(counts)
-        out[i] = row / (np.linalg.norm(row) or 1.0)
+        out[i] = row / np.linalg.norm(row)
     return out
 
 
@@ -146,12 +157,10 @@ class Model:
         return names, score
 
 
-def train(rows: list[tuple[str, str]]) -> Model | None:
-    """A model of (text, language) rows."""
-    if not rows:
+def train(x: np.ndarray, labels: np.ndarray) -> Model | None:
+    """A model of rows of features and their languages."""
+    if not len(x):
         return None
-    labels = np.array([lang for _, lang in rows])
-    x = features([t.encode() for t, _ in rows])
     by_family = defaultdict(list)
     for lang in sorted(set(labels.tolist())):
         by_family[FAMILY.get(lang, f"only {lang}")].append(lang)
@@ -165,16 +174,36 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _sparse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(l, at, value): the features that are not 0, by bucket, as bytes."""
+    for frame in frames:
+        rows = []
+        for a in range(0, len(frame), _ROWS):
+            part = frame.iloc[a : a + _ROWS]
+            for lang, x in zip(part["l"], features([t.encode() for t in part["t"]]), strict=True):
+                at = np.flatnonzero(x)
+                rows.append((lang, at.astype(np.uint16).tobytes(), x[at].tobytes()))
+        yield pd.DataFrame(rows, columns=["l", "at", "value"])
+
+
 def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Train on about ``sample`` rows a language that have letters and are not held out."""
-    rows = df.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
+    """Train on about ``sample`` different rows a language that have letters and are not held out.
+
+    Texts stay on the executors, which send the features of the sample: at most BUCKETS numbers a row.
+    """
+    rows = df.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(text_col).rlike(r"\p{L}"))
+    rows = rows.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 40)).alias("u"))
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    u = F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(1_000_000)) / F.lit(1_000_000.0)
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, sample / n)))
-    some = rows.filter((u < F.element_at(share, F.col("l"))) & F.col("t").rlike(r"\p{L}"))
-    return train([(r["t"], r["l"]) for r in some.select("i", "t", "l").collect()] if len(counts) else [])
+    some = rows.filter(F.col("u") / F.lit(float(1 << 40)) < F.element_at(share, F.col("l"))).dropDuplicates(["l", "u"])
+    some = some.select("l", letters(F.col("t")).alias("t")).mapInPandas(_sparse, "l string, at binary, value binary")
+    found = sorted((r["l"], bytes(r["at"]), bytes(r["value"])) for r in some.collect())
+    x = np.zeros((len(found), BUCKETS), np.float32)
+    for i, (_, at, value) in enumerate(found):
+        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float32)
+    return train(x, np.array([lang for lang, _, _ in found]))
 
 
 def identify(df: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,7 +222,7 @@ def identify(df: DataFrame, model: Model | None, *, id_col: str = "doc_id", text
                 names[part], score[part] = model.predict(features([t.encode() for t in frame["text"].to_numpy()[part]]))
             yield pd.DataFrame({"id": frame["id"], "held_out": frame["held_out"], "lang_pred": names, "score": np.clip(score, 0, 1)})
 
-    base = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("ok"))
+    base = df.select(F.col(id_col).cast("string").alias("id"), letters(F.col(text_col)).alias("text"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("ok"))
     out = base.mapInPandas(predict, "id string, held_out boolean, lang_pred string, score double")
     return out.select(F.col("id").cast(kind).alias(id_col), "held_out", "lang_pred", "score")
 
@@ -211,4 +240,4 @@ def keep_identified(df: DataFrame, model: Model | None, *, text_col: str = "text
                 out[a : a + _ROWS] = 0.0 if model is None else model.predict(features([t.encode() if isinstance(t, str) else b"" for t in values[a : a + _ROWS]]))[1]
             yield pd.Series(out)
 
-    return df.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).filter(score(F.col(text_col)) >= least)
+    return df.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).filter(score(letters(F.col(text_col))) >= least)
