@@ -28,7 +28,7 @@ from docgrid.llm.common import SPACE, cut
 
 #: Bytes of text, and rows, that one task keeps before it hands on its local winners.
 WINDOW_BYTES, WINDOW_ROWS = 32_000_000, 100_000
-#: Rows from which a digest is salted, the salts, and the most digests that can be so.
+#: Local winners from which a digest is salted, the salts, and the most digests that can be so.
 HOT_ROWS, SALTS, HOT_LIST = 2_000, 16, 100_000
 
 
@@ -79,16 +79,13 @@ def exact_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     base = df.select(F.col(id_col).alias("id"), F.regexp_replace(text, f"[{SPACE}]+", "").alias("norm"), F.char_length(text).cast("long").alias("n"))
     base = base.select("id", F.sha2("norm", 256).alias("sha"), "norm", "n")
 
-    counts = cut(base.groupBy("sha").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT_ROWS))
-    rows = counts.agg(F.sum("c")).first()[0] or 0
-    hot = counts.filter(F.col("c") > rows / HOT_LIST).select("sha", F.lit(True).alias("hot"))  # fewer than HOT_LIST rows
-
     from pyspark.sql.pandas.types import to_arrow_type
 
-    local = base.mapInArrow(
-        _fold(to_arrow_type(id_field)),
-        T.StructType([T.StructField("sha", T.StringType()), T.StructField("norm", T.StringType()), T.StructField("members", T.ArrayType(id_field)), T.StructField("best_n", T.LongType()), T.StructField("best_id", id_field)]),
-    )
+    fields = [("sha", T.StringType()), ("norm", T.StringType()), ("members", T.ArrayType(id_field)), ("best_n", T.LongType()), ("best_id", id_field)]
+    local = cut(base.mapInArrow(_fold(to_arrow_type(id_field)), T.StructType([T.StructField(*f) for f in fields])))
+    counts = cut(local.groupBy("sha").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT_ROWS))
+    rows = counts.agg(F.sum("c")).first()[0] or 0
+    hot = counts.filter(F.col("c") > rows / HOT_LIST).select("sha", F.lit(True).alias("hot"))  # fewer than HOT_LIST rows
     local = local.join(F.broadcast(hot), "sha", "left")
     local = local.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("best_id", "best_n", F.spark_partition_id()), F.lit(SALTS)).cast("int")).otherwise(0))
 
@@ -110,6 +107,10 @@ def exact_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all columns."""
-    keep = exact_duplicates(df, id_col=id_col, text_col=text_col).filter("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return df.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    """One row of each group of equal texts, with all columns: the one that ``exact_duplicates`` keeps."""
+    keep = exact_duplicates(df, id_col=id_col, text_col=text_col).filter("kept").select(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_of")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("_row"), F.col(id_col).alias("_id"), F.sha2(F.regexp_replace(text, f"[{SPACE}]+", ""), 256).alias("_sha"), F.struct(F.char_length(text), F.xxhash64(text)).alias("_n"))
+    rows = rows.join(keep, (F.col("_sha") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_keep")))
+    # rows of one id and digest: the longest of them; equal ones as one
+    return rows.groupBy("_sha").agg(F.max_by("_row", "_n").alias("_row")).select("_row.*")
