@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set."""
+    """The folder that all executors share: spark.checkpoint.dir; a temporary one only for a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not hasattr(spark.sparkContext, "_docgrid_shared"):
         spark.sparkContext._docgrid_shared = "file://" + tempfile.mkdtemp(prefix="docgrid-")
     return spark.sparkContext._docgrid_shared
@@ -41,18 +42,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def filtered_scans(spark: SparkSession):
-    """Within: joins with a short list of keys send a Bloom filter of them (8 MB at most) to the scan first."""
-    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "0")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def row_key(c: str | Column) -> Column:
     """A text of a key that is never null, by which hashes are taken."""
     col = F.col(c) if isinstance(c, str) else c
