@@ -14,11 +14,12 @@ of a run, but are never deleted before a line that stays.
 
 What then stays is winnowed once more by words, without regard to lines: of every ``WORD_WINDOW`` words in a row
 the one with the least hash begins a gram of ``WORD_GRAM`` words, and any run of ``LONG_WORDS`` words that
-two places share has a common gram. Grams are joined to their first place, those that follow each other on
-one diagonal are one match, and its ends are extended word by word, which takes WORD_WINDOW - 1 words of
-either text. Of the later place the shared words are cut, with the white space before each, where they are
-``LONG_WORDS`` or more. A gram of words is paired with its first place only: where that place shares fewer
-words than a later one does, the rest of the longer match stays.
+two places share has a common gram. Grams are joined to their first place, those that overlap are one
+match, whichever places they stand at, and its ends are extended word by word beside the places of its first
+and last gram, which takes WORD_WINDOW - 1 words of either text. Of the later place the shared words are cut,
+with the white space before each, where they are ``LONG_WORDS`` or more. Each end is paired with the first place
+of its gram only: where that place shares fewer words than a later one does, up to WORD_WINDOW - 1 words of the
+longer match stay at that end.
 
 All of it is rows of bounded size: a fingerprint's copies all point to one place, a match holds the hashes of
 48 words about each end, and intervals are merged by windows over a document's rows, so that work grows
@@ -65,7 +66,13 @@ def _same(a: str, b: str, left: DataFrame, right: DataFrame) -> Column:
 def line_hashes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _th, _h, _n): the hashes and word counts of each document's lines."""
     docs = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.split(F.col(text_col), "\n", -1).alias("_l"))
-    lines = F.transform("_l", lambda x: F.struct(F.xxhash64(F.btrim(x, F.lit(" \t\x0b\f\r"))).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+
+    def line(x: Column) -> Column:
+        spaced = F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+        n = F.when(x.rlike(r"^ | $|  |[\t\x0B\f\r]") | (x == ""), F.regexp_count(x, F.lit(WORD))).otherwise(spaced)
+        return F.struct(F.xxhash64(F.btrim(x, F.lit(" \t\x0b\f\r"))).alias("h"), n.alias("n"))
+
+    lines = F.transform("_l", line)
     docs = docs.select(*_DOC, lines.alias("_l"))
     return docs.select(*_DOC, F.col("_l.h").alias("_h"), F.col("_l.n").alias("_n"))
 
@@ -132,7 +139,10 @@ def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _word_hashes(text: str) -> Column:
-    return F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x))
+    """The hashes of a text's words; only rare white space needs a regular expression."""
+    plain = F.filter(F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), " ", -1), lambda x: x != "")
+    words = F.when(F.col(text).rlike(r"[\t\x0B\f\r]"), F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))).otherwise(plain)
+    return F.transform(words, lambda x: F.xxhash64(x))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -140,31 +150,19 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _least(v: Column, window: int, width: int = 1) -> Column:
-    """The least of each window of ``window`` values, from those of windows of ``width``, by doubling."""
-    if width == window:
-        return v
-    step = min(width, window - width)
-
-    def both(v: Column) -> Column:
-        n = F.greatest(F.lit(0), F.size(v) - step)
-        return F.zip_with(F.slice(v, 1, n), F.slice(v, step + 1, n), lambda a, b: F.least(a, b))
-
-    return _least(_let(v, both), window, width + step)
-
-
 def word_marks(texts: DataFrame, gram: int = WORD_GRAM, window: int = WORD_WINDOW) -> DataFrame:
-    """(_id, _th, pos, hash) of the grams of words that are fingerprints, for documents (_id, _th, _text)."""
+    """(_id, _th, _f): the places and hashes of the grams of words that are fingerprints, for documents (_id, _th, _text)."""
 
     def marks(h: Column) -> Column:
         # the hash's upper half, then the place: the least of a window tells where it stands, the first of equals
         starts = F.slice(h, 1, F.greatest(F.lit(0), F.size(h) - gram + 1))
         placed = F.transform(starts, lambda x, i: F.shiftright(x, 32) * F.lit(_PLACE) + i)
-        at = F.transform(F.array_distinct(_least(placed, window)), lambda v: v.bitwiseAND(F.lit(_PLACE - 1)).cast("int"))
+        least = _let(placed, lambda v: F.transform(F.slice(v, 1, F.greatest(F.lit(0), F.size(v) - window + 1)), lambda x, i: F.array_min(F.slice(v, i + 1, F.lit(window)))))
+        at = F.transform(F.array_distinct(least), lambda v: v.bitwiseAND(F.lit(_PLACE - 1)).cast("int"))
         return F.transform(at, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.slice(h, p + 1, F.lit(gram))).alias("hash")))
 
     texts = texts.filter(F.octet_length("_text") >= 2 * (gram + window) - 3)
-    return texts.select(*_DOC, F.explode(_let(_word_hashes("_text"), marks)).alias("_f")).select(*_DOC, "_f.*")
+    return texts.select(*_DOC, _let(_word_hashes("_text"), marks).alias("_f"))
 
 
 def _equal(a: Column, b: Column) -> Column:
@@ -177,30 +175,35 @@ def repeated_spans(docs: DataFrame, *, gram: int = WORD_GRAM, window: int = WORD
     """(_id, _th, runs) by words for documents (_id, _th, _text): the runs of gram + window - 1 words or more to cut."""
     around, least = window - 1, gram + window - 1
     texts = docs.filter(F.col("_text").isNotNull())
-    pairs = _first(_shared(word_marks(texts, gram, window)), F.col("hash"), F.lit(gram))
-    pairs = pairs.select(*_DOC, "pos", F.col("_s._id").alias("_sid"), F.col("_s._th").alias("_sth"), (F.col("pos") - F.col("_s.pos")).alias("_d")).distinct()
-    diagonal = W.partitionBy(*_DOC, "_sid", "_sth", "_d").orderBy("pos")
-    pairs = pairs.withColumn("_new", F.coalesce(F.col("pos") - F.lag("pos").over(diagonal) > gram, F.lit(True)))
-    pairs = pairs.withColumn("_run", F.count(F.when(F.col("_new"), 1)).over(diagonal.rowsBetween(W.unboundedPreceding, 0)))
-    runs = cut(pairs.groupBy(*_DOC, "_sid", "_sth", "_d", "_run").agg(F.min("pos").alias("_lo"), (F.max("pos") + gram).alias("_hi")))
-
-    # only documents of a match are dealt out: the words about its ends are cut from each of the two
-    ends = runs.select(*_DOC).union(runs.select("_sid", "_sth")).distinct().withColumnsRenamed({"_id": "_eid", "_th": "_eth"})
+    marks = cut(word_marks(texts, gram, window)).select(*_DOC, F.explode("_f").alias("_f")).select(*_DOC, "_f.*")
+    pairs = _first(_shared(marks), F.col("hash"), F.lit(gram)).select(*_DOC, "pos", "_s").distinct()
+    # grams that overlap are one match, whichever places they stand at first; its ends go by their own grams
+    order = W.partitionBy(*_DOC).orderBy("pos")
+    pairs = pairs.withColumn("_new", F.coalesce(F.col("pos") - F.lag("pos").over(order) >= gram, F.lit(True)))
+    pairs = pairs.withColumn("_run", F.count(F.when(F.col("_new"), 1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = cut(pairs.groupBy(*_DOC, "_run").agg(F.min(F.struct("pos", "_s")).alias("_lo"), F.max(F.struct("pos", "_s")).alias("_hi")))
+
+    # only documents of a match are dealt out: the words about its ends are cut from each of the texts
+    ends = runs.select(*_DOC).union(runs.select("_lo._s._id", "_lo._s._th")).union(runs.select("_hi._s._id", "_hi._s._th")).distinct().withColumnsRenamed({"_id": "_eid", "_th": "_eth"})
     own = texts.join(ends, _same("_", "_e", texts, ends), "left_semi")
     words = cut(own.groupBy(*_DOC).agg(F.first("_text").alias("_text")).select(F.col("_id").alias("_wid"), F.col("_th").alias("_wth"), _word_hashes("_text").alias("_h")))
 
-    def cut_out(lo: Column, hi: Column, a: str, b: str) -> list[Column]:
-        start = F.greatest(F.lit(0), lo - around)
-        return [F.reverse(F.slice("_h", start + 1, lo - start)).alias(a), F.slice("_h", hi + 1, F.lit(around)).alias(b)]
+    def before(at: Column) -> Column:
+        start = F.greatest(F.lit(0), at - around)
+        return F.reverse(F.slice("_h", start + 1, at - start))
 
-    keep = (*_DOC, "_sid", "_sth", "_d", "_lo", "_hi")
-    runs = runs.join(words, _same("_", "_w", runs, words)).select(*keep, *cut_out(F.col("_lo"), F.col("_hi"), "_a", "_b"))
-    runs = runs.join(words, _same("_s", "_w", runs, words)).select(*keep, "_a", "_b", *cut_out(F.col("_lo") - F.col("_d"), F.col("_hi") - F.col("_d"), "_sa", "_sb"))
+    def after(at: Column) -> Column:
+        return F.slice("_h", at + gram + 1, F.lit(around))
 
     def short(a: str, b: str) -> Column:
         return F.slice(a, 1, F.least(F.size(a), F.size(b)))
 
-    runs = runs.select(*_DOC, (F.col("_lo") - _equal(short("_a", "_sa"), short("_sa", "_a"))).alias("first"), (F.col("_hi") - 1 + _equal(short("_b", "_sb"), short("_sb", "_b"))).alias("last"))
+    lo, hi = F.col("_lo.pos"), F.col("_hi.pos")
+    runs = runs.join(words, _same("_", "_w", runs, words)).select(*_DOC, lo.alias("_at"), hi.alias("_to"), "_lo._s", F.col("_hi._s").alias("_e"), before(lo).alias("_a"), after(hi).alias("_b"))
+    source = F.col("_s._id").eqNullSafe(F.col("_wid")) & (F.col("_s._th") == F.col("_wth"))
+    runs = runs.join(words, source).withColumn("_o", before(F.col("_s.pos"))).select(*_DOC, (F.col("_at") - _equal(short("_a", "_o"), short("_o", "_a"))).alias("first"), "_to", "_e", "_b")
+    source = F.col("_e._id").eqNullSafe(F.col("_wid")) & (F.col("_e._th") == F.col("_wth"))
+    runs = runs.join(words, source).withColumn("_o", after(F.col("_e.pos"))).select(*_DOC, "first", (F.col("_to") + gram - 1 + _equal(short("_b", "_o"), short("_o", "_b"))).alias("last"))
     return _by_document(_merged(runs.filter(F.col("last") - F.col("first") + 1 >= least)))
 
 
