@@ -69,11 +69,18 @@ def assign_shards(df: DataFrame, shards: int | Sequence[float] = 8, *, id_col: s
     )
 
 
+def shard_documents(df: DataFrame, shards: int | Sequence[float] = 8, *, id_col: str = "doc_id") -> DataFrame:
+    """All rows and columns of ``df`` with shard and grown_shard, without a shuffle; such columns of the input are replaced."""
+    weights = dict(enumerate([1.0] * shards if isinstance(shards, int) else [float(w) for w in shards]))
+    key = row_key(id_col)
+    shard, grown = rendezvous(key, weights), rendezvous(key, weights | {len(weights): 1.0})
+    return df.select(*(F.col(c) for c in df.columns if c not in ("shard", "grown_shard")), shard.alias("shard"), grown.alias("grown_shard"))
+
+
 def write_shards(df: DataFrame, path: str, shards: int | Sequence[float] = 8, *, id_col: str = "doc_id", files: int = 16) -> None:
     """Write all columns of ``df`` under ``path/shard=k``, each shard in up to ``files`` files.
 
     Rows are dealt by shard and a hash of the key, so that no task holds a whole shard.
     """
-    weights = dict(enumerate([1.0] * shards if isinstance(shards, int) else [float(w) for w in shards]))
-    out = df.withColumn("shard", rendezvous(row_key(id_col), weights))
+    out = shard_documents(df, shards, id_col=id_col).drop("grown_shard")
     out.repartition("shard", F.pmod(F.xxhash64(row_key(id_col)), F.lit(files))).write.partitionBy("shard").parquet(path)

@@ -68,6 +68,18 @@ def test_mix(docs):
     assert set(mixing.mix_documents(docs).columns) == set(docs.columns)
 
 
+def test_mix_keeps_repeated_rows(spark):
+    """Words of the mix come to each source's target within one document, also where rows are equal or share an id."""
+    rows = [(1, "w " * 10, "a", 0)] * 10 + [(2, "w " * (k % 7), "b", 0) for k in range(30)] + [(None, "w " * 9, None, k) for k in range(12)] + [(k, "w w", "c", k) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    plan, words = {}, {}
+    for r in mixing.plan_mix(df).collect():
+        plan[r["source"]] = r["target"]
+    for r in mixing.mix_documents(df).collect():
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    assert all(abs(words[s] - t) < 11 for s, t in plan.items())
+
+
 def test_position_inverts_the_schedule(spark):
     from pyspark.sql import functions as F
 
@@ -90,6 +102,17 @@ def test_language(spark):
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und"
 
 
+def test_features_in_pieces():
+    text = ("ab  é cde " * 900).encode()
+    assert np.array_equal(langid.features([text]), langid.features([text], 100))
+
+
+def test_drop_exact_duplicates(spark):
+    rows = [(1, "a b", 1), (1, "ab", 2), (1, "c", 3), (1, "c", 3), (None, "d", 4), (2, "a  b", 5), (3, None, 6), (3, "", 6)]
+    got = exact_dedup.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string, sha int")).collect()
+    assert sorted(r["text"] or "" for r in got) == ["", "a  b", "c", "d"]
+
+
 def test_exact(docs):
     got = exact_dedup.exact_duplicates(docs).collect()
     assert len(got) == len(ROWS)
@@ -141,6 +164,19 @@ def test_tiles_against_brute_force():
         assert all((a[i : i + n] == b[j : j + n]).all() for i, j, n in got)
 
 
+def test_tiles_of_equal_words_are_linear():
+    index = decontam.Index([(1, "w " * 20_000), (2, " ".join(f"t{i % 50}" for i in range(20_000)))])
+    assert [(i, n, k) for _, i, n, k in decontam._given_away(index, [b"w " * 40_000], 0.8)] == [(0, 20_000, 1)]
+
+
+def test_drop_contaminated(spark):
+    bench = spark.createDataFrame([(1, words(4)), (2, words(6))], "item_id long, text string")
+    rows = [(None, "x " + words(4), 1), (1, words(5), 2), (1, words(6), 3), (2, None, 4), (2, "", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    for block in (1, 1000):
+        assert sorted(r["item_id"] for r in decontam.drop_contaminated(df, bench, block_tokens=block).collect()) == [2, 4, 5]
+
+
 def test_decontaminate(spark, docs):
     item = words(1).split()
     bench = spark.createDataFrame([(10, " ".join(item[30:] + item[:30])), (11, words(9)), (12, None), (13, "é000")], "item_id long, text string")
@@ -212,6 +248,34 @@ def test_near_against_brute_force(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(label))
 
 
+def test_near_of_repeated_ids_and_rows(spark):
+    """Null ids, several texts of one id, equal rows: one row of each group stays, and counts are of rows."""
+    rows = [(None, words(1), 0), (None, words(1), 0), (4, words(1) + " x", 1), (4, words(2), 2), (4, words(2), 2), (9, words(3), 3), (None, words(9), 4), (5, None, 5), (5, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class int")
+    got = sorted(((r["class_id"] or 0, r["class_size"], r["n_links"], r["kept"]) for r in near_dedup.near_duplicates(df)[0].collect()))
+    assert got == [(0, 1, 0, True), (4, 2, 0, True), (4, 2, 0, True), (4, 3, 1, False), (4, 3, 1, False), (4, 3, 1, True), (5, 1, 0, True), (5, 1, 0, True), (9, 1, 0, True)]
+    assert sorted(r["class"] for r in near_dedup.drop_near_duplicates(df).collect()) == [1, 2, 3, 4, 5, 5]
+    links = near_dedup.near_duplicates(df)[1].collect()
+    assert [(r["a"], r["b"]) for r in links] in ([(None, 4)], [(4, None)])
+
+
+def test_near_of_buckets_of_many_blocks(spark, monkeypatch):
+    """Buckets of many blocks lose no link: a chain in which each text is like its neighbours only."""
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 1)
+    base = [f"v{i}" for i in range(120)]
+    texts = [" ".join(base[: 120 - 4 * k] + [f"x{k}_{j}" for j in range(4 * k)]) for k in range(5)] * 8
+    texts = [t + f" end{i}" for i, t in enumerate(texts)]
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))[0].collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(label))
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     el = np.arange(1, 301, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -233,6 +297,30 @@ def test_html(spark):
     assert got[1]["text"] == "Head & line One two three. Four five" and got[2]["text"] == "" and got[4]["text"] == "unclosed text"
 
 
+LONG = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "words"),
+    [
+        (f'<body><div class="text-widget"><h1>Head here</h1><p>{LONG}</p><p>{LONG}</p></div></body>', 86),
+        (f'<body><nav><a>x</a></nav><div id="promotion-of-science-article"><p>{LONG}</p><p>Short one.</p></div></body>', 44),
+        (f'<article><p>{LONG}</p><svg class="i"/><p>second {LONG}</p></article>', 85),
+        (f"<article><p class=it's>text {LONG}</p><p>b</p></article>", 44),
+        (f'<div class="content with-sidebar"><article><p>{LONG}</p></article><div class="sidebar"><p>{LONG}</p></div></div>', 42),
+        (f'<form id="all"><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div class="login">Sign in now</div></form>', 85),
+        (f'<article><p>{LONG}</p><div class="ad">Buy this</div><p>{LONG}</p></article><div id="comments"><article class="comment"><p>{LONG}</p></article></div>', 84),
+        (f"<ul><li><a>Home</a></li><li><a>About us</a></li></ul><h1>My title</h1><p>{LONG}</p><p>{LONG}</p><p><a>Prev page of it all</a></p><p>{LONG}</p>", 128),
+        (f"<article><noscript>on<p>{LONG}</p></article>", 43),
+        (f"<article><p>{LONG}</p><script>var a = '<p>';", 42),
+        ("<p " * 50_000, 0),
+        ("<div>" * 20_000 + "deep " + "</div>" * 20_000, 1),
+    ],
+)
+def test_main_text_of_layouts(page, words):
+    assert len(html_text.main_text(page, html_text.trained()).split()) == words
+
+
 def test_lines(spark):
     block = "\n".join(f"line {k} of the block" for k in range(6))
     long = words(4, 55)
@@ -275,6 +363,14 @@ def test_passages_inside_lines(spark):
     assert [got[k]["__n_words_removed"] for k in (1, 2, 3, 4, 6)] == [0, 50, 50, 0, 70]
 
 
+def test_many_equal_lines_and_clashing_columns(spark):
+    """One document of very many equal lines; input columns named as those made inside."""
+    rows = [(1, "a line of five words\n" * 60_000, 1, 2, 3), (2, "en " * 30_000, 4, 5, 6), (2, None, 7, 8, 9)]
+    got = {(r["doc_id"], r["_id"]): r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, _id int, _th int, runs int")).collect()}
+    assert got[1, 1]["text"] == "a line of five words\n" * 3 and (got[1, 1]["_th"], got[1, 1]["runs"]) == (2, 3)
+    assert got[2, 4]["__n_words_removed"] > 29_000 and got[2, 7]["text"] is None
+
+
 def test_shards(spark, docs):
     import xxhash
 
@@ -286,3 +382,12 @@ def test_shards(spark, docs):
     for s in {r["shard"] for r in got}:
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
     assert next(r for r in got if r["doc_id"] == 1)["text_crc32"] == zlib.crc32(words(1).encode())
+
+
+def test_written_shards(spark, docs, tmp_path):
+    """All rows come back from the files, each from the shard that its key is dealt to."""
+    sharding.write_shards(docs, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    told = {(r["doc_id"], r["shard"]) for r in sharding.assign_shards(docs, 4).collect()}
+    assert back.count() == len(ROWS) and {(r["doc_id"], r["shard"]) for r in back.collect()} == told
+    assert "size" in back.columns
