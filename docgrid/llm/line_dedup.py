@@ -12,17 +12,18 @@ words together, that stands at an earlier place as a whole is deleted; shorter r
 deleted as the copy of a line at an earlier place, so the first of all copies stays. Blank lines are part
 of a run, but are never deleted before a line that stays.
 
-What then stays is winnowed once more by words, without regard to lines: of every ``WORD_WINDOW`` words in a row
-the one with the least hash begins a gram of ``WORD_GRAM`` words, and any run of ``LONG_WORDS`` words that
-two places share has a common gram. Grams are joined to their first place, those that overlap are one
-match, whichever places they stand at, and its ends are extended word by word beside the places of its first
-and last gram, which takes WORD_WINDOW - 1 words of either text. Of the later place the shared words are cut,
-with the white space before each, where they are ``LONG_WORDS`` or more. Each end is paired with the first place
-of its gram only: where that place shares fewer words than a later one does, up to WORD_WINDOW - 1 words of the
-longer match stay at that end.
-
-All of it is rows of bounded size: a fingerprint's copies all point to one place, a match holds the hashes of
-48 words about each end, and intervals are merged by windows over a document's rows, so that work grows
+What then stays is winnowed once more without regard to lines. It is cut into pieces where its words
+say so: after a word that ends with one of ``CUTS``, and after every word where that leaves more than
+``PIECE`` words. Grams of ``PIECE_GRAM`` pieces are fingerprints by windows of ``PIECE_WINDOW``; as pieces have
+six words at most, any run of ``LONG_WORDS`` words that two places share holds the seven whole pieces that
+guarantee a common one. Grams are joined to their first place, those that touch are one match, whichever
+places they stand at, and its ends are extended word by word beside the places of its first and last gram,
+which takes ``AROUND`` pieces of either text. Of the later place the shared words are cut, with the white space
+before each, where they are ``LONG_WORDS`` or more. Each end is paired with the first place of its gram only:
+where that place shares fewer words than a later one does, words of at most ``AROUND`` pieces stay at that end.
+
+All of it is rows of bounded size: a fingerprint's copies all point to one place, a match holds the words of
+four pieces about each end, and intervals are merged by windows over a document's rows, so that work grows
 with the lines and words, also where they are all alike.
 
 Defined cases: null is a text without lines and stays null; lines are compared without white space at
@@ -42,10 +43,18 @@ from pyspark.sql import functions as F
 from docgrid.llm.common import SPACE, WORD, cut
 
 GRAM, WINDOW, LONG_WORDS = 2, 2, 50
-#: Their sum less one is LONG_WORDS.
-WORD_GRAM, WORD_WINDOW = 26, 25
+#: Words of a piece, pieces of a gram and grams of a window: LONG_WORDS words hold all but 2 (PIECE - 1) in whole
+#: pieces, which are PIECE_GRAM + PIECE_WINDOW - 1 at least. Pieces that a match can go beyond its grams.
+PIECE, PIECE_GRAM, PIECE_WINDOW, AROUND = 6, 4, 4, 4
+#: Last letters of the words after which a piece ends: about a third of all words in many languages.
+CUTS = ".,;:!?esаи"
 _PLACE = 1 << 31
-_DOC = ("_id", "_th")
+#: A document: hashes of id and text.
+_DOC = ("_key", "_th")
+
+
+def _key(id_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.lit("document"))
 
 
 def _ahead(a: Column, n: int) -> Column:
@@ -56,42 +65,43 @@ def _back(a: Column, kind: str) -> Column:
     return F.concat(F.array(F.lit(None).cast(kind)), a)
 
 
-def _same(a: str, b: str, left: DataFrame, right: DataFrame) -> Column:
-    return left[f"{a}id"].eqNullSafe(right[f"{b}id"]) & (left[f"{a}th"] == right[f"{b}th"])
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 # --- fingerprints ----------------------------------------------------------------------------
 
 
 def line_hashes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _th, _h, _n): the hashes and word counts of each document's lines."""
-    docs = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.split(F.col(text_col), "\n", -1).alias("_l"))
+    """(_id, _key, _th, _h, _n): the hashes and word counts of each document's lines."""
+    docs = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), _key(id_col).alias("_key"), F.xxhash64(text_col).alias("_th"), F.split(F.col(text_col), "\n", -1).alias("_l"))
 
     def line(x: Column) -> Column:
-        spaced = F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-        n = F.when(x.rlike(r"^ | $|  |[\t\x0B\f\r]") | (x == ""), F.regexp_count(x, F.lit(WORD))).otherwise(spaced)
+        # single spaces between words are counted as bytes, all else by a regular expression
+        odd = (x == "") | x.startswith(" ") | x.endswith(" ") | x.contains("  ") | x.contains("\t") | x.contains("\r") | x.contains("\x0b") | x.contains("\f")
+        n = F.when(odd, F.regexp_count(x, F.lit(WORD))).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
         return F.struct(F.xxhash64(F.btrim(x, F.lit(" \t\x0b\f\r"))).alias("h"), n.alias("n"))
 
-    lines = F.transform("_l", line)
-    docs = docs.select(*_DOC, lines.alias("_l"))
-    return docs.select(*_DOC, F.col("_l.h").alias("_h"), F.col("_l.n").alias("_n"))
+    docs = docs.select("_id", *_DOC, F.transform("_l", line).alias("_l"))
+    return docs.select("_id", *_DOC, F.col("_l.h").alias("_h"), F.col("_l.n").alias("_n"))
 
 
 def line_marks(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
-    """(_id, _th, pos, size, hash, long, before, after): the fingerprints, and the hashes of the lines about them."""
+    """(_id, _key, _th, pos, size, hash, long, before, after): the fingerprints, and the hashes of the lines about them."""
     h, n = F.col("_h"), F.col("_n")
     gram = F.zip_with(h, _ahead(h, 1), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
     rows = _let(gram, lambda g: F.arrays_zip(
         h.alias("h"), n.alias("n"), g.alias("g"), _back(h, "bigint").alias("h0"), _ahead(h, 1).alias("h1"), _ahead(h, 2).alias("h2"),
         _ahead(n, 1).alias("n1"), _back(g, "bigint").alias("g0"), _ahead(g, 1).alias("g1"),
     ))
-    rows = docs.select(*_DOC, F.posexplode(rows).alias("pos", "_r")).select(*_DOC, "pos", "_r.*").filter(F.col("h").isNotNull())
+    rows = docs.select("_id", *_DOC, F.posexplode(rows).alias("pos", "_r")).select("_id", *_DOC, "pos", "_r.*").filter(F.col("h").isNotNull())
     long, longs = F.col("n") >= long_words, F.col("n") + F.coalesce("n1", F.lit(0)) >= long_words
     # the least of a window of two grams: the first of equals; a gram without neighbours is its own window
     least = (F.col("g") <= F.col("g1")) | (F.col("g") < F.col("g0")) | (F.col("g0").isNull() & F.col("g1").isNull())
     two = F.when(F.col("g").isNotNull() & (F.coalesce(least, F.lit(False)) | longs), F.struct(F.lit(2).alias("size"), F.col("g").alias("hash"), longs.alias("long"), F.col("h0").alias("before"), F.col("h2").alias("after")))
     one = F.when(long, F.struct(F.lit(1).alias("size"), F.col("h").alias("hash"), F.lit(True).alias("long"), F.col("h0").alias("before"), F.col("h1").alias("after")))
-    return rows.select(*_DOC, "pos", F.explode(F.filter(F.array(two, one), lambda m: m.isNotNull())).alias("_m")).select(*_DOC, "pos", "_m.*")
+    return rows.select("_id", *_DOC, "pos", F.explode(F.filter(F.array(two, one), lambda m: m.isNotNull())).alias("_m")).select("_id", *_DOC, "pos", "_m.*")
 
 
 def _shared(marks: DataFrame) -> DataFrame:
@@ -102,14 +112,14 @@ def _shared(marks: DataFrame) -> DataFrame:
 
 def _first(marks: DataFrame, key: Column, apart: Column) -> DataFrame:
     """The marks with ``key`` that have an earlier place, which is ``_s``; the two do not overlap."""
-    marks = marks.withColumn("_key", key).filter(F.col("_key").isNotNull())
-    first = marks.groupBy("_key").agg(F.min(F.struct("_id", "_th", "pos")).alias("_s"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(F.col("_key").alias("_k"), "_s")
-    own = F.col("_id").eqNullSafe(F.col("_s._id")) & (F.col("_th") == F.col("_s._th"))
-    return marks.join(first, F.col("_key") == F.col("_k")).filter(~own | (F.col("pos") - F.col("_s.pos") >= apart))
+    marks = marks.withColumn("_of", key).filter(F.col("_of").isNotNull())
+    first = marks.groupBy("_of").agg(F.min(F.struct("_id", "_th", "pos", "_key")).alias("_s"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(F.col("_of").alias("_k"), "_s")
+    own = (F.col("_key") == F.col("_s._key")) & (F.col("_th") == F.col("_s._th"))
+    return marks.join(first, F.col("_of") == F.col("_k")).filter(~own | (F.col("pos") - F.col("_s.pos") >= apart))
 
 
 def _merged(rows: DataFrame) -> DataFrame:
-    """(_id, _th, first, last): the intervals of a document, those that overlap or touch as one."""
+    """(_key, _th, first, last): the intervals of a document, those that overlap or touch as one."""
     rows = rows.groupBy(*_DOC, "first").agg(F.max("last").alias("last"))
     order = W.partitionBy(*_DOC).orderBy("first")
     rows = rows.withColumn("_reach", F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1)))
@@ -122,7 +132,7 @@ def _by_document(runs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
-    """(_id, _th, runs): for each document with repeated lines, the runs (first, last) of 0-based lines to delete."""
+    """(_key, _th, runs): for each document with repeated lines, the runs (first, last) of 0-based lines to delete."""
     marks = _shared(line_marks(cut(line_hashes(df, id_col, text_col)), long_words))
     place = F.struct("size", "hash")
     copies = _first(marks, place, F.col("size")).filter("long").select(*_DOC, F.col("pos").alias("first"), (F.col("pos") + F.col("size") - 1).alias("last"))
@@ -138,72 +148,82 @@ def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 # --- words -----------------------------------------------------------------------------------
 
 
-def _word_hashes(text: str) -> Column:
-    """The hashes of a text's words; only rare white space needs a regular expression."""
-    plain = F.filter(F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), " ", -1), lambda x: x != "")
-    words = F.when(F.col(text).rlike(r"[\t\x0B\f\r]"), F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))).otherwise(plain)
-    return F.transform(words, lambda x: F.xxhash64(x))
+def pieces(text: Column) -> Column:
+    """A text as pieces of up to ``PIECE`` words between single spaces."""
+    odd = text.startswith(" ") | text.endswith(" ") | text.contains("  ") | text.contains("\n\n") | text.contains(" \n") | text.contains("\n ") | text.startswith("\n") | text.endswith("\n") | text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\f")
+    spaced = F.when(odd, F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
+    many = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) >= PIECE
+    cut_ = F.transform(F.split(spaced, f"(?<=[{CUTS}]) "), lambda x: F.when(many(x), F.split(x, " ")).otherwise(F.array(x)))
+    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.flatten(cut_))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it is named."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def piece_marks(texts: DataFrame, gram: int = PIECE_GRAM, window: int = PIECE_WINDOW) -> DataFrame:
+    """(_id, _key, _th, _f): the places and hashes of the grams of pieces that are fingerprints, for documents with _text."""
 
+    def joined(values: Column, step: int, of: Callable[[Column, Column], Column]) -> Column:
+        """Each value with the one ``step`` places on."""
+        return _let(values, lambda v: F.zip_with(F.slice(v, 1, F.greatest(F.lit(0), F.size(v) - step)), F.slice(v, step + 1, F.size(v)), of))
 
-def word_marks(texts: DataFrame, gram: int = WORD_GRAM, window: int = WORD_WINDOW) -> DataFrame:
-    """(_id, _th, _f): the places and hashes of the grams of words that are fingerprints, for documents (_id, _th, _text)."""
+    def over(values: Column, n: int, of: Callable[[Column, Column], Column], width: int = 1) -> Column:
+        """``of`` all runs of ``n`` values, by doubling; ``n`` is a power of two."""
+        return values if width >= n else over(joined(values, width, of), n, of, 2 * width)
 
-    def marks(h: Column) -> Column:
+    def marks(g: Column) -> Column:
         # the hash's upper half, then the place: the least of a window tells where it stands, the first of equals
-        starts = F.slice(h, 1, F.greatest(F.lit(0), F.size(h) - gram + 1))
-        placed = F.transform(starts, lambda x, i: F.shiftright(x, 32) * F.lit(_PLACE) + i)
-        least = _let(placed, lambda v: F.transform(F.slice(v, 1, F.greatest(F.lit(0), F.size(v) - window + 1)), lambda x, i: F.array_min(F.slice(v, i + 1, F.lit(window)))))
-        at = F.transform(F.array_distinct(least), lambda v: v.bitwiseAND(F.lit(_PLACE - 1)).cast("int"))
-        return F.transform(at, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.slice(h, p + 1, F.lit(gram))).alias("hash")))
+        placed = F.transform(g, lambda x, i: F.shiftright(x, 32) * F.lit(_PLACE) + i)
+        least = F.array_distinct(over(placed, window, lambda a, b: F.least(a, b)))
+        return F.transform(least, lambda v: _let(v.bitwiseAND(F.lit(_PLACE - 1)).cast("int"), lambda p: F.struct(p.alias("pos"), F.get(g, p).alias("hash"))))
 
-    texts = texts.filter(F.octet_length("_text") >= 2 * (gram + window) - 3)
-    return texts.select(*_DOC, _let(_word_hashes("_text"), marks).alias("_f"))
+    texts = texts.filter(F.octet_length("_text") >= 2 * LONG_WORDS - 1)
+    grams = over(F.transform(pieces(F.col("_text")), lambda x: F.xxhash64(x)), gram, lambda a, b: F.xxhash64(a, b))
+    return texts.select("_id", *_DOC, _let(grams, marks).alias("_f"))
 
 
 def _equal(a: Column, b: Column) -> Column:
-    """The number of equal values that two arrays of one length begin with."""
-    differ = F.array_position(F.zip_with(a, b, lambda x, y: x == y), False)
-    return F.when(differ == 0, F.size(a)).otherwise(differ - 1).cast("int")
+    """The number of equal values that two arrays begin with."""
+
+    def same(n: Column) -> Column:
+        differ = F.array_position(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x == y), False)
+        return F.when(differ == 0, n).otherwise(differ - 1).cast("int")
+
+    return _let(F.least(F.size(a), F.size(b)), same)
 
 
-def repeated_spans(docs: DataFrame, *, gram: int = WORD_GRAM, window: int = WORD_WINDOW) -> DataFrame:
-    """(_id, _th, runs) by words for documents (_id, _th, _text): the runs of gram + window - 1 words or more to cut."""
-    around, least = window - 1, gram + window - 1
+def repeated_spans(docs: DataFrame, *, gram: int = PIECE_GRAM, window: int = PIECE_WINDOW, least: int = LONG_WORDS) -> DataFrame:
+    """(_key, _th, runs) for documents (_id, _key, _th, _text): the runs (first, last) of ``least`` words or more to cut, by 0-based words."""
     texts = docs.filter(F.col("_text").isNotNull())
-    marks = cut(word_marks(texts, gram, window)).select(*_DOC, F.explode("_f").alias("_f")).select(*_DOC, "_f.*")
-    pairs = _first(_shared(marks), F.col("hash"), F.lit(gram)).select(*_DOC, "pos", "_s").distinct()
-    # grams that overlap are one match, whichever places they stand at first; its ends go by their own grams
+    marks = cut(piece_marks(texts, gram, window)).select("_id", *_DOC, F.explode("_f").alias("_f")).select("_id", *_DOC, "_f.*")
+    pairs = _first(_shared(marks), F.col("hash"), F.lit(gram)).select(*_DOC, "pos", F.struct("_s.pos", "_s._key", "_s._th").alias("_s")).distinct()
+    # grams that touch are one match, whichever places they stand at first; its ends go by their own grams
     order = W.partitionBy(*_DOC).orderBy("pos")
-    pairs = pairs.withColumn("_new", F.coalesce(F.col("pos") - F.lag("pos").over(order) >= gram, F.lit(True)))
+    pairs = pairs.withColumn("_new", F.coalesce(F.col("pos") - F.lag("pos").over(order) > gram, F.lit(True)))
     pairs = pairs.withColumn("_run", F.count(F.when(F.col("_new"), 1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
     runs = cut(pairs.groupBy(*_DOC, "_run").agg(F.min(F.struct("pos", "_s")).alias("_lo"), F.max(F.struct("pos", "_s")).alias("_hi")))
 
-    # only documents of a match are dealt out: the words about its ends are cut from each of the texts
-    ends = runs.select(*_DOC).union(runs.select("_lo._s._id", "_lo._s._th")).union(runs.select("_hi._s._id", "_hi._s._th")).distinct().withColumnsRenamed({"_id": "_eid", "_th": "_eth"})
-    own = texts.join(ends, _same("_", "_e", texts, ends), "left_semi")
-    words = cut(own.groupBy(*_DOC).agg(F.first("_text").alias("_text")).select(F.col("_id").alias("_wid"), F.col("_th").alias("_wth"), _word_hashes("_text").alias("_h")))
+    # only documents of a match are dealt out, as pieces: the words about its ends are taken from each of the texts
+    ends = runs.select(*_DOC).union(runs.select("_lo._s._key", "_lo._s._th")).union(runs.select("_hi._s._key", "_hi._s._th")).distinct()
+    own = texts.join(ends, list(_DOC), "left_semi").groupBy(*_DOC).agg(F.first("_text").alias("_text"))
+    own = cut(own.select(F.col("_key").alias("_wkey"), F.col("_th").alias("_wth"), pieces(F.col("_text")).alias("_p")))
+    words = lambda some: F.split(F.array_join(some, " "), " ")
 
     def before(at: Column) -> Column:
-        start = F.greatest(F.lit(0), at - around)
-        return F.reverse(F.slice("_h", start + 1, at - start))
+        start = F.greatest(F.lit(0), at - AROUND)
+        return F.when(at > 0, F.reverse(words(F.slice("_p", start + 1, at - start)))).otherwise(F.array().cast("array<string>"))
 
     def after(at: Column) -> Column:
-        return F.slice("_h", at + gram + 1, F.lit(around))
+        some = F.slice("_p", at + gram + 1, F.lit(AROUND))
+        return F.when(F.size(some) > 0, words(some)).otherwise(F.array().cast("array<string>"))
 
-    def short(a: str, b: str) -> Column:
-        return F.slice(a, 1, F.least(F.size(a), F.size(b)))
+    def count(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0), lambda n, x: n + F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
 
+    at = lambda key, th: (F.col("_wkey") == F.col(key)) & (F.col("_wth") == F.col(th))
     lo, hi = F.col("_lo.pos"), F.col("_hi.pos")
-    runs = runs.join(words, _same("_", "_w", runs, words)).select(*_DOC, lo.alias("_at"), hi.alias("_to"), "_lo._s", F.col("_hi._s").alias("_e"), before(lo).alias("_a"), after(hi).alias("_b"))
-    source = F.col("_s._id").eqNullSafe(F.col("_wid")) & (F.col("_s._th") == F.col("_wth"))
-    runs = runs.join(words, source).withColumn("_o", before(F.col("_s.pos"))).select(*_DOC, (F.col("_at") - _equal(short("_a", "_o"), short("_o", "_a"))).alias("first"), "_to", "_e", "_b")
-    source = F.col("_e._id").eqNullSafe(F.col("_wid")) & (F.col("_e._th") == F.col("_wth"))
-    runs = runs.join(words, source).withColumn("_o", after(F.col("_e.pos"))).select(*_DOC, "first", (F.col("_to") + gram - 1 + _equal(short("_b", "_o"), short("_o", "_b"))).alias("last"))
+    runs = runs.join(own, at("_key", "_th")).select(
+        *_DOC, "_lo._s", F.col("_hi._s").alias("_e"), before(lo).alias("_a"), after(hi).alias("_b"), count(F.slice("_p", F.lit(1), lo)).alias("_first"), count(F.slice("_p", lo + 1, hi + gram - lo)).alias("_n"),
+    )
+    runs = runs.join(own, at("_s._key", "_s._th")).select(*_DOC, "_e", "_b", "_first", "_n", _equal(F.col("_a"), before(F.col("_s.pos"))).alias("_left"))
+    runs = runs.join(own, at("_e._key", "_e._th")).select(*_DOC, (F.col("_first") - F.col("_left")).alias("first"), (F.col("_first") + F.col("_n") - 1 + _equal(F.col("_b"), after(F.col("_e.pos")))).alias("last"))
     return _by_document(_merged(runs.filter(F.col("last") - F.col("first") + 1 >= least)))
 
 
@@ -229,16 +249,16 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """
     told = ("__n_lines", "__n_removed", "__runs", "__n_words_removed", "__spans")
     rest = [c for c in df.columns if c not in (id_col, text_col, *told)]
-    base = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*(F.col(c) for c in rest)).alias("_rest") if rest else F.lit(0).alias("_rest"), F.xxhash64(text_col).alias("_th"))
-    runs = repeated_runs(base, id_col="_id", text_col="_text", long_words=long_words).withColumnsRenamed({"_id": "_rid", "_th": "_rth", "runs": "_runs"})
-    out = base.join(runs, _same("_", "_r", base, runs), "left")
+    base = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*(F.col(c) for c in rest)).alias("_rest") if rest else F.lit(0).alias("_rest"), _key(id_col).alias("_key"), F.xxhash64(text_col).alias("_th"))
+    runs = repeated_runs(base, id_col="_id", text_col="_text", long_words=long_words).withColumnRenamed("runs", "_runs")
+    out = base.join(runs, list(_DOC), "left")
     n = F.coalesce(F.regexp_count("_text", F.lit("\n")) + 1, F.lit(0)).cast("long")
     gone = F.coalesce(F.aggregate("_runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1), F.lit(0)).cast("long")
     text = F.when(F.col("_runs").isNull(), F.col("_text")).otherwise(F.array_join(_between(F.split("_text", "\n", -1), F.col("_runs")), "\n"))
-    out = cut(out.select("_id", "_th", "_rest", text.alias("_text"), n.alias("_n"), gone.alias("_gone"), "_runs"))
+    out = cut(out.select("_id", *_DOC, "_rest", text.alias("_text"), n.alias("_n"), gone.alias("_gone"), "_runs"))
 
-    spans = repeated_spans(out.select("_id", "_th", "_text")).withColumnsRenamed({"_id": "_rid", "_th": "_rth", "runs": "_spans"})
-    out = out.join(spans, _same("_", "_r", out, spans), "left")
+    spans = repeated_spans(out.select("_id", *_DOC, "_text"), least=long_words).withColumnRenamed("runs", "_spans")
+    out = out.join(spans, list(_DOC), "left")
     # each word with the white space before it
     words = F.regexp_extract_all("_text", F.lit(f"[{SPACE}]*+{WORD}+|[{SPACE}]++$"), F.lit(0))
     text = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.array_join(_between(words, F.col("_spans")), ""))
