@@ -30,6 +30,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
+def squeeze_ends(text: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def fold(text: Column) -> Column:
     """Text for comparison without case: upper, then lower; ß agrees with ss and ς with σ."""
     return F.translate(F.replace(F.lower(F.upper(text)), F.lit("ß"), F.lit("ss")), "ς", "σ")
