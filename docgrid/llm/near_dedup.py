@@ -148,24 +148,32 @@ class Similar:
         return both / (self.total[x] + self.total - both)
 
 
-def link(sets: list[tuple[np.ndarray, np.ndarray]], least: float) -> list[tuple[int, int, float]]:
-    """A spanning forest of the pairs of (elements, counts) whose Jaccard similarity is ``least`` or more."""
-    similar = Similar(sets)
-    parent = list(range(len(sets)))
+class Forest:
+    """Which sets are already held together by links."""
 
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def top(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
         return x
 
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart until now."""
+        x, y = self.top(x), self.top(y)
+        self.parent[y] = x
+        return x != y
+
+
+def link(sets: list[tuple[np.ndarray, np.ndarray]], least: float) -> list[tuple[int, int, float]]:
+    """A spanning forest of the pairs of (elements, counts) whose Jaccard similarity is ``least`` or more."""
+    similar, forest = Similar(sets), Forest(len(sets))
     out, seed = [], similar.to(0)
     for x in [0, *np.flatnonzero(seed < least).tolist()]:
         row = similar.to(x) if x else seed
-        for y in np.flatnonzero(row >= least).tolist():
-            if top(x) != top(y):
-                parent[top(y)] = top(x)
-                out.append((x, y, float(row[y])))
+        out += [(x, y, float(row[y])) for y in np.flatnonzero(row >= least).tolist() if forest.join(x, y)]
     return out
 
 
@@ -190,17 +198,19 @@ def _link(n_words: int, least: float, weighting: str):
 
 
 def _against(n_words: int, least: float, weighting: str):
-    """Each member of a block against the given few (``asks``): links, and members that none of them is like as (digest, null, null)."""
+    """Each member of a block against the given few (``asks``): a spanning forest of their links, and members that none of them is like as (digest, null, null)."""
 
     def met(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates(["digest", "asks"]).sort_values(["digest", "asks"])
         similar, ids, asks = Similar(_sets(frame, n_words, weighting)), frame["digest"].tolist(), frame["asks"].to_numpy(bool)
-        out, alone = [], ~asks
+        out, alone, forest, first = [], ~asks, Forest(len(ids)), {}
+        for i, name in enumerate(ids):  # who asks and is asked is one
+            forest.join(first.setdefault(name, i), i)
         for i in np.flatnonzero(asks).tolist():
             row = similar.to(i)
             for j in np.flatnonzero((row >= least) & ~asks).tolist():
                 alone[j] = False
-                if ids[i] != ids[j]:
+                if forest.join(i, j):
                     out.append((ids[i], ids[j], float(row[j])))
         out += [(ids[j], None, None) for j in np.flatnonzero(alone).tolist()]
         return pd.DataFrame(out, columns=["a", "b", "similarity"])
@@ -231,19 +241,17 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_words: int = SHINGLE, similarity: float = SIMILARITY, k: int = COORDINATES, rows: int = ROWS, weighting: str = "count") -> tuple[DataFrame, DataFrame]:
     """Classes and links.
 
-    Classes: one row a row of ``df``: id, class_id (the least id of its group), class_size, n_links, kept.
-    ``n_links`` is the number of links below that the text has. Links: (a, b, similarity) between
-    different texts, each by the least id of its copies; they hold the groups together, and need
-    not be all pairs within one.
+    Classes: one row a row of ``df``: id, class_id (the least id of its group), class_size, kept.
+    Links: (a, b, similarity) between different texts, each by the least id of its copies; they
+    hold the groups together, and need not be all pairs within one.
     """
     signed, nodes, links = _grouped(df, id_col, text_col, n_words, similarity, k, rows, weighting)
-    ends = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n_links"))
-    nodes = nodes.join(ends, "digest", "left").select(F.col("digest").alias("_d"), "class", "class_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    nodes = nodes.select(F.col("digest").alias("_d"), "class", "class_size")
     out = signed.select("id", "th", "digest").join(nodes, F.col("digest") == F.col("_d"), "left")
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    one = F.lit(1).cast("long")
     alone = F.col("class").isNull()
     out = out.select(
-        F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("class.id")).alias("class_id"), F.coalesce("class_size", one).alias("class_size"), F.coalesce("n_links", none).alias("n_links"),
+        F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("class.id")).alias("class_id"), F.coalesce("class_size", one).alias("class_size"),
         (alone | (F.col("id").eqNullSafe(F.col("class.id")) & (F.col("th") == F.col("class.th")))).alias("kept"),
     )
     names = nodes_of(signed).select("digest", F.col("rep.id").alias("id"))

@@ -252,8 +252,8 @@ def test_near_of_repeated_ids_and_rows(spark):
     """Null ids, several texts of one id, equal rows: one row of each group stays, and counts are of rows."""
     rows = [(None, words(1), 0), (None, words(1), 0), (4, words(1) + " x", 1), (4, words(2), 2), (4, words(2), 2), (9, words(3), 3), (None, words(9), 4), (5, None, 5), (5, None, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, class int")
-    got = sorted(((r["class_id"] or 0, r["class_size"], r["n_links"], r["kept"]) for r in near_dedup.near_duplicates(df)[0].collect()))
-    assert got == [(0, 1, 0, True), (4, 2, 0, True), (4, 2, 0, True), (4, 3, 1, False), (4, 3, 1, False), (4, 3, 1, True), (5, 1, 0, True), (5, 1, 0, True), (9, 1, 0, True)]
+    got = sorted(((r["class_id"] or 0, r["class_size"], r["kept"]) for r in near_dedup.near_duplicates(df)[0].collect()))
+    assert got == [(0, 1, True), (4, 2, True), (4, 2, True), (4, 3, False), (4, 3, False), (4, 3, True), (5, 1, True), (5, 1, True), (9, 1, True)]
     assert sorted(r["class"] for r in near_dedup.drop_near_duplicates(df).collect()) == [1, 2, 3, 4, 5, 5]
     links = near_dedup.near_duplicates(df)[1].collect()
     assert [(r["a"], r["b"]) for r in links] in ([(None, 4)], [(4, None)])
