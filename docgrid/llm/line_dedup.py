@@ -12,18 +12,17 @@ words together, that stands at an earlier place as a whole is deleted; shorter r
 deleted as the copy of a line at an earlier place, so the first of all copies stays. Blank lines are part
 of a run, but are never deleted before a line that stays.
 
-What then stays is winnowed once more without regard to lines. It is cut into pieces where its words
-say so: after a word that ends with one of ``CUTS``, and after every word where that leaves more than
-``PIECE`` words. Grams of ``PIECE_GRAM`` pieces are fingerprints by windows of ``PIECE_WINDOW``; as pieces have
-six words at most, any run of ``LONG_WORDS`` words that two places share holds the seven whole pieces that
-guarantee a common one. Grams are joined to their first place, those that touch are one match, whichever
-places they stand at, and its ends are extended word by word beside the places of its first and last gram,
-which takes ``AROUND`` pieces of either text. Of the later place the shared words are cut, with the white space
-before each, where they are ``LONG_WORDS`` or more. Each end is paired with the first place of its gram only:
-where that place shares fewer words than a later one does, words of at most ``AROUND`` pieces stay at that end.
-
-All of it is rows of bounded size: a fingerprint's copies all point to one place, a match holds the words of
-four pieces about each end, and intervals are merged by windows over a document's rows, so that work grows
+What then stays is winnowed once more by words, without regard to lines: of every ``WORD_WINDOW`` words in a row
+the one with the least hash begins a gram of ``WORD_GRAM`` words, and any run of ``LONG_WORDS`` words that
+two places share has a common gram. Grams are joined to their first place, those that touch are one
+match, whichever places they stand at, and its ends are extended word by word beside the places of its first
+and last gram, which takes WORD_WINDOW - 1 words of either text. Of the later place the shared words are cut,
+with the white space before each, where they are ``LONG_WORDS`` or more. Each end is paired with the first place
+of its gram only: where that place shares fewer words than a later one does, up to WORD_WINDOW - 1 words of the
+longer match stay at that end.
+
+All of it is rows of bounded size: a fingerprint's copies all point to one place, a match holds 24
+words about each end, and intervals are merged by windows over a document's rows, so that work grows
 with the lines and words, also where they are all alike.
 
 Defined cases: null is a text without lines and stays null; lines are compared without white space at
@@ -43,11 +42,8 @@ from pyspark.sql import functions as F
 from docgrid.llm.common import SPACE, WORD, cut
 
 GRAM, WINDOW, LONG_WORDS = 2, 2, 50
-#: Words of a piece, pieces of a gram and grams of a window: LONG_WORDS words hold all but 2 (PIECE - 1) in whole
-#: pieces, which are PIECE_GRAM + PIECE_WINDOW - 1 at least. Pieces that a match can go beyond its grams.
-PIECE, PIECE_GRAM, PIECE_WINDOW, AROUND = 6, 4, 4, 4
-#: Last letters of the words after which a piece ends: about a third of all words in many languages.
-CUTS = ".,;:!?esаи"
+#: Their sum less one is LONG_WORDS.
+WORD_GRAM, WORD_WINDOW = 26, 25
 _PLACE = 1 << 31
 #: A document: hashes of id and text.
 _DOC = ("_key", "_th")
@@ -148,35 +144,33 @@ def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 # --- words -----------------------------------------------------------------------------------
 
 
-def pieces(text: Column) -> Column:
-    """A text as pieces of up to ``PIECE`` words between single spaces."""
-    odd = text.startswith(" ") | text.endswith(" ") | text.contains("  ") | text.contains("\n\n") | text.contains(" \n") | text.contains("\n ") | text.startswith("\n") | text.endswith("\n") | text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\f")
-    spaced = F.when(odd, F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
-    many = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) >= PIECE
-    cut_ = F.transform(F.split(spaced, f"(?<=[{CUTS}]) "), lambda x: F.when(many(x), F.split(x, " ")).otherwise(F.array(x)))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.flatten(cut_))
+def words_of(text: Column) -> Column:
+    """The words of a text; only rare white space needs a regular expression."""
+    odd = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\f")
+    spaced = F.replace(text, F.lit("\n"), F.lit(" "))
+    plain = F.when(spaced.contains("  ") | spaced.startswith(" ") | spaced.endswith(" ") | (spaced == ""), F.filter(F.split(spaced, " ", -1), lambda x: x != "")).otherwise(F.split(spaced, " ", -1))
+    return F.when(odd, F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).otherwise(plain)
 
 
-def piece_marks(texts: DataFrame, gram: int = PIECE_GRAM, window: int = PIECE_WINDOW) -> DataFrame:
-    """(_id, _key, _th, _f): the places and hashes of the grams of pieces that are fingerprints, for documents with _text."""
+def word_marks(texts: DataFrame, gram: int = WORD_GRAM, window: int = WORD_WINDOW) -> DataFrame:
+    """(_id, _key, _th, _f): the places and hashes of the grams of words that are fingerprints, for documents with _text."""
 
-    def joined(values: Column, step: int, of: Callable[[Column, Column], Column]) -> Column:
-        """Each value with the one ``step`` places on."""
-        return _let(values, lambda v: F.zip_with(F.slice(v, 1, F.greatest(F.lit(0), F.size(v) - step)), F.slice(v, step + 1, F.size(v)), of))
+    def least(values: Column, width: int = 1) -> Column:
+        """The least of each window, by doubling."""
+        if width == window:
+            return values
+        step = min(width, window - width)
+        pairs = lambda v: F.zip_with(F.slice(v, 1, F.greatest(F.lit(0), F.size(v) - step)), F.slice(v, step + 1, F.size(v)), lambda a, b: F.least(a, b))
+        return least(_let(values, pairs), width + step)
 
-    def over(values: Column, n: int, of: Callable[[Column, Column], Column], width: int = 1) -> Column:
-        """``of`` all runs of ``n`` values, by doubling; ``n`` is a power of two."""
-        return values if width >= n else over(joined(values, width, of), n, of, 2 * width)
-
-    def marks(g: Column) -> Column:
+    def marks(h: Column) -> Column:
         # the hash's upper half, then the place: the least of a window tells where it stands, the first of equals
-        placed = F.transform(g, lambda x, i: F.shiftright(x, 32) * F.lit(_PLACE) + i)
-        least = F.array_distinct(over(placed, window, lambda a, b: F.least(a, b)))
-        return F.transform(least, lambda v: _let(v.bitwiseAND(F.lit(_PLACE - 1)).cast("int"), lambda p: F.struct(p.alias("pos"), F.get(g, p).alias("hash"))))
+        placed = F.transform(F.slice(h, 1, F.greatest(F.lit(0), F.size(h) - gram + 1)), lambda x, i: F.shiftright(x, 32) * F.lit(_PLACE) + i)
+        at = F.transform(F.array_distinct(least(placed)), lambda v: v.bitwiseAND(F.lit(_PLACE - 1)).cast("int"))
+        return F.transform(at, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.slice(h, p + 1, F.lit(gram))).alias("hash")))
 
-    texts = texts.filter(F.octet_length("_text") >= 2 * LONG_WORDS - 1)
-    grams = over(F.transform(pieces(F.col("_text")), lambda x: F.xxhash64(x)), gram, lambda a, b: F.xxhash64(a, b))
-    return texts.select("_id", *_DOC, _let(grams, marks).alias("_f"))
+    texts = texts.filter(F.octet_length("_text") >= 2 * (gram + window) - 3)
+    return texts.select("_id", *_DOC, _let(F.transform(words_of(F.col("_text")), lambda x: F.xxhash64(x)), marks).alias("_f"))
 
 
 def _equal(a: Column, b: Column) -> Column:
@@ -189,10 +183,11 @@ def _equal(a: Column, b: Column) -> Column:
     return _let(F.least(F.size(a), F.size(b)), same)
 
 
-def repeated_spans(docs: DataFrame, *, gram: int = PIECE_GRAM, window: int = PIECE_WINDOW, least: int = LONG_WORDS) -> DataFrame:
-    """(_key, _th, runs) for documents (_id, _key, _th, _text): the runs (first, last) of ``least`` words or more to cut, by 0-based words."""
+def repeated_spans(docs: DataFrame, *, gram: int = WORD_GRAM, window: int = WORD_WINDOW) -> DataFrame:
+    """(_key, _th, runs) for documents (_id, _key, _th, _text): the runs (first, last) of gram + window - 1 words or more to cut, by 0-based words."""
+    around, least = window - 1, gram + window - 1
     texts = docs.filter(F.col("_text").isNotNull())
-    marks = cut(piece_marks(texts, gram, window)).select("_id", *_DOC, F.explode("_f").alias("_f")).select("_id", *_DOC, "_f.*")
+    marks = cut(word_marks(texts, gram, window)).select("_id", *_DOC, F.explode("_f").alias("_f")).select("_id", *_DOC, "_f.*")
     pairs = _first(_shared(marks), F.col("hash"), F.lit(gram)).select(*_DOC, "pos", F.struct("_s.pos", "_s._key", "_s._th").alias("_s")).distinct()
     # grams that touch are one match, whichever places they stand at first; its ends go by their own grams
     order = W.partitionBy(*_DOC).orderBy("pos")
@@ -200,30 +195,23 @@ def repeated_spans(docs: DataFrame, *, gram: int = PIECE_GRAM, window: int = PIE
     pairs = pairs.withColumn("_run", F.count(F.when(F.col("_new"), 1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
     runs = cut(pairs.groupBy(*_DOC, "_run").agg(F.min(F.struct("pos", "_s")).alias("_lo"), F.max(F.struct("pos", "_s")).alias("_hi")))
 
-    # only documents of a match are dealt out, as pieces: the words about its ends are taken from each of the texts
+    # only documents of a match are dealt out, as words: those about its ends are taken from each of the texts
     ends = runs.select(*_DOC).union(runs.select("_lo._s._key", "_lo._s._th")).union(runs.select("_hi._s._key", "_hi._s._th")).distinct()
     own = texts.join(ends, list(_DOC), "left_semi").groupBy(*_DOC).agg(F.first("_text").alias("_text"))
-    own = cut(own.select(F.col("_key").alias("_wkey"), F.col("_th").alias("_wth"), pieces(F.col("_text")).alias("_p")))
-    words = lambda some: F.split(F.array_join(some, " "), " ")
+    own = cut(own.select(F.col("_key").alias("_wkey"), F.col("_th").alias("_wth"), words_of(F.col("_text")).alias("_p")))
 
     def before(at: Column) -> Column:
-        start = F.greatest(F.lit(0), at - AROUND)
-        return F.when(at > 0, F.reverse(words(F.slice("_p", start + 1, at - start)))).otherwise(F.array().cast("array<string>"))
+        start = F.greatest(F.lit(0), at - around)
+        return F.reverse(F.slice("_p", start + 1, at - start))
 
     def after(at: Column) -> Column:
-        some = F.slice("_p", at + gram + 1, F.lit(AROUND))
-        return F.when(F.size(some) > 0, words(some)).otherwise(F.array().cast("array<string>"))
-
-    def count(some: Column) -> Column:
-        return F.aggregate(some, F.lit(0), lambda n, x: n + F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+        return F.slice("_p", at + gram + 1, F.lit(around))
 
     at = lambda key, th: (F.col("_wkey") == F.col(key)) & (F.col("_wth") == F.col(th))
     lo, hi = F.col("_lo.pos"), F.col("_hi.pos")
-    runs = runs.join(own, at("_key", "_th")).select(
-        *_DOC, "_lo._s", F.col("_hi._s").alias("_e"), before(lo).alias("_a"), after(hi).alias("_b"), count(F.slice("_p", F.lit(1), lo)).alias("_first"), count(F.slice("_p", lo + 1, hi + gram - lo)).alias("_n"),
-    )
-    runs = runs.join(own, at("_s._key", "_s._th")).select(*_DOC, "_e", "_b", "_first", "_n", _equal(F.col("_a"), before(F.col("_s.pos"))).alias("_left"))
-    runs = runs.join(own, at("_e._key", "_e._th")).select(*_DOC, (F.col("_first") - F.col("_left")).alias("first"), (F.col("_first") + F.col("_n") - 1 + _equal(F.col("_b"), after(F.col("_e.pos")))).alias("last"))
+    runs = runs.join(own, at("_key", "_th")).select(*_DOC, "_lo._s", F.col("_hi._s").alias("_e"), lo.alias("_first"), hi.alias("_last"), before(lo).alias("_a"), after(hi).alias("_b"))
+    runs = runs.join(own, at("_s._key", "_s._th")).select(*_DOC, "_e", "_b", "_last", (F.col("_first") - _equal(F.col("_a"), before(F.col("_s.pos")))).alias("first"))
+    runs = runs.join(own, at("_e._key", "_e._th")).select(*_DOC, "first", (F.col("_last") + gram - 1 + _equal(F.col("_b"), after(F.col("_e.pos")))).alias("last"))
     return _by_document(_merged(runs.filter(F.col("last") - F.col("first") + 1 >= least)))
 
 
@@ -257,7 +245,7 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     text = F.when(F.col("_runs").isNull(), F.col("_text")).otherwise(F.array_join(_between(F.split("_text", "\n", -1), F.col("_runs")), "\n"))
     out = cut(out.select("_id", *_DOC, "_rest", text.alias("_text"), n.alias("_n"), gone.alias("_gone"), "_runs"))
 
-    spans = repeated_spans(out.select("_id", *_DOC, "_text"), least=long_words).withColumnRenamed("runs", "_spans")
+    spans = repeated_spans(out.select("_id", *_DOC, "_text")).withColumnRenamed("runs", "_spans")
     out = out.join(spans, list(_DOC), "left")
     # each word with the white space before it
     words = F.regexp_extract_all("_text", F.lit(f"[{SPACE}]*+{WORD}+|[{SPACE}]++$"), F.lit(0))
