@@ -8,6 +8,10 @@ throws: what cannot be evaluated has failed.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,11 +138,27 @@ def path_collisions(paths: DataFrame) -> DataFrame:
 def fingerprint(files: DataFrame, excluded: Column | None = None) -> DataFrame:
     """(doc_id, sha256) over all files (doc_id, path, content) but the ``excluded`` ones.
 
-    In the order of paths: the path's length in eight bytes, the path, the content, a zero byte.
+    In the order of paths: the path's length in eight bytes, the path, the content, a zero byte. A
+    bundle's files are sorted within a task and read one after another; none but the current is held.
     """
     kept = files if excluded is None else files.filter(~excluded)
-    path = F.encode("path", "UTF-8")
-    chunk = F.concat(F.unhex(F.lpad(F.hex(F.octet_length("path")), 16, "0")), path, F.col("content").cast("binary"), F.unhex(F.lit("00")))
-    parts = kept.select("doc_id", F.struct(path.alias("p"), chunk.alias("c")).alias("f")).groupBy("doc_id").agg(F.sort_array(F.collect_list("f")).alias("fs"))
-    whole = F.aggregate("fs", F.lit(b""), lambda acc, f: F.concat(acc, f["c"]))
-    return parts.select("doc_id", F.sha2(whole, 256).alias("sha256"))
+    kind = files.schema["doc_id"].dataType
+    rows = kept.select(F.col("doc_id").cast("string").alias("doc_id"), F.encode("path", "UTF-8").alias("path"), F.col("content").cast("binary").alias("content"))
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "path")
+
+    def digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, digest = None, None
+        for frame in frames:
+            done = []
+            for doc, path, content in zip(frame["doc_id"], frame["path"], frame["content"], strict=True):
+                if digest is None or doc != at:
+                    done += [(at, digest.hexdigest())] if digest else []
+                    at, digest = doc, hashlib.sha256()
+                digest.update(len(path).to_bytes(8, "big") + bytes(path))
+                digest.update(content or b"")
+                digest.update(b"\0")
+            yield pd.DataFrame(done, columns=["doc_id", "sha256"])
+        if digest:
+            yield pd.DataFrame([(at, digest.hexdigest())], columns=["doc_id", "sha256"])
+
+    return rows.mapInPandas(digests, "doc_id string, sha256 string").select(F.col("doc_id").cast(kind).alias("doc_id"), "sha256")

@@ -35,11 +35,13 @@ def page_ranges(pages: DataFrame) -> DataFrame:
 
 
 def local_context(rows: DataFrame, most: int = 6) -> DataFrame:
-    """For each target of (doc_id, idx, is_target), its ``most`` nearest rows, as "3,4,6"."""
+    """For each target of (doc_id, idx, is_target), its ``most`` nearest rows, as "3,4,6"; idx may have gaps."""
+    order = W.partitionBy("doc_id").orderBy("idx")
+    placed = rows.withColumn("_n", F.row_number().over(order))
     near = F.explode(F.filter(F.sequence(F.lit(-most), F.lit(most)), lambda k: k != 0))
-    targets = rows.filter("is_target").select("doc_id", F.col("idx").alias("target"), near.alias("_d")).withColumn("idx", F.col("target") + F.col("_d"))
-    found = targets.join(rows.select("doc_id", "idx"), ["doc_id", "idx"])
-    r = F.row_number().over(W.partitionBy("doc_id", "target").orderBy(F.abs("_d"), "idx"))
+    targets = placed.filter("is_target").select("doc_id", F.col("idx").alias("target"), F.col("_n").alias("_t"), near.alias("_k")).select("doc_id", "target", (F.col("_t") + F.col("_k")).alias("_n"))
+    found = targets.join(placed.select("doc_id", "idx", "_n"), ["doc_id", "_n"])
+    r = F.row_number().over(W.partitionBy("doc_id", "target").orderBy(F.abs(F.col("idx") - F.col("target")), "idx"))
     found = found.withColumn("_r", r).filter(F.col("_r") <= most)
     return found.groupBy("doc_id", "target").agg(F.array_join(F.sort_array(F.collect_list("idx")), ",").alias("context"))
 

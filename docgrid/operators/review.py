@@ -151,6 +151,36 @@ def identity_errors(runs: DataFrame, elements: DataFrame, most: int = captions.M
     return r.select("doc_id", F.explode(found).alias("error"))
 
 
+def enrichment_evidence(runs: DataFrame, elements: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, passed, reason): whether captions were made with the accepted set-up, none failed and none is left out for want of a provider.
+
+    ``runs`` is that of ``identity_errors`` with provider_configured and provider_config map.
+    """
+    failed = items.groupBy("doc_id").agg(F.count_if(F.col("status") == "failed").alias("_failed"))
+    left = elements.groupBy("doc_id").agg(F.count_if((F.col("type") == "image") & (F.col("exclusion_reason") == NO_PROVIDER)).alias("_left"))
+    r = runs.join(failed, "doc_id", "left").join(left, "doc_id", "left")
+    there = _is(F.col("enabled") & F.col("provider").isNotNull() & F.col("model").isNotNull() & F.col("provider_configured"))
+    set_up = (F.col("provider") == PROVIDER) & (F.col("model") == MODEL) & (F.try_element_at("provider_config", F.lit("model")) == MODEL) & F.col("prompt_version").isin(*captions.PROMPTS)
+    pinned = release_version(F.col("preflight_version")) & (F.col("preflight_model") == MODEL) & (F.col("preflight_digest") == F.col("accepted_digest"))
+    reason = F.when(~there, "not_configured").when(~_is(set_up & pinned), "set_up").when(F.coalesce("_failed", F.lit(0)) > 0, "failed").when(F.coalesce("_left", F.lit(0)) > 0, "left_out")
+    return r.select("doc_id", reason.isNull().alias("passed"), reason.alias("reason"))
+
+
+def report_checks(runs: DataFrame, errors: dict[str, DataFrame]) -> DataFrame:
+    """(doc_id, check_id, passed, errors) of every check for every run, from the error rows (doc_id, ...) of each.
+
+    The rows are counted by document before they meet, so a report costs one aggregate over all errors.
+    """
+    every = None
+    for check_id, rows in errors.items():
+        part = rows.select("doc_id", F.lit(check_id).alias("check_id"))
+        every = part if every is None else every.unionByName(part)
+    found = every.groupBy("doc_id", "check_id").agg(F.count(F.lit(1)).alias("errors"))
+    wanted = runs.select("doc_id", F.explode(F.array(*map(F.lit, errors))).alias("check_id"))
+    out = wanted.join(found, ["doc_id", "check_id"], "left")
+    return out.select("doc_id", "check_id", F.col("errors").isNull().alias("passed"), F.coalesce("errors", F.lit(0).cast("long")).alias("errors"))
+
+
 def parameter_errors(elements: DataFrame, runs: DataFrame) -> DataFrame:
     """Captions made with other output parameters than the run's ``provider_config`` map names."""
     e = elements.filter(has_provenance()).join(runs.select("doc_id", "provider_config"), "doc_id")

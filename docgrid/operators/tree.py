@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgrid.functions import text as T
+from docgrid.operators import outline
 
 
 def chapter_paths(chapters: DataFrame) -> DataFrame:
@@ -62,15 +63,18 @@ def chapter_at(elements: DataFrame, anchored: DataFrame) -> DataFrame:
     On a page where several chapters start, an element belongs to the last one whose anchor it has
     passed, else to one that was open before the page; elsewhere to the deepest, then latest.
     """
-    c = anchored.select("doc_id", "ord", "level", F.col("page").alias("_from"), F.col("page_end").alias("_to"), "anchor", "shared")
-    pages = anchored.filter("shared").select("doc_id", "page").distinct().withColumn("_shared", F.lit(True))
+    shared = anchored.filter("shared")
+    pages = shared.select("doc_id", "page").distinct().withColumn("_shared", F.lit(True))
+    anchors = shared.filter("anchor is not null").select("doc_id", "page", F.col("anchor").cast("long").alias("_at"), F.struct(F.col("anchor").cast("long").alias("a"), "ord").alias("_open"))
     e = elements.join(pages, ["doc_id", "page"], "left")
-    hits = e.join(c, "doc_id").filter(F.col("page").between(F.col("_from"), F.col("_to")))
-    passed = F.coalesce(F.col("_shared") & (F.col("_from") == F.col("page")) & (F.col("anchor") <= F.col("reading_order")), F.lit(False))
-    hits = hits.filter(F.col("_shared").isNull() | passed | (F.col("_from") < F.col("page")))
-    key = F.struct(passed.alias("a"), F.when(passed, F.col("anchor").cast("long")).otherwise(F.col("level").cast("long")).alias("b"), "ord")
-    best = hits.groupBy("doc_id", "element_id").agg(F.max(key).alias("_b"))
-    return elements.join(best, ["doc_id", "element_id"], "left").select("doc_id", "element_id", "page", F.col("_b.ord").alias("chapter_ord"))
+    # anchors and elements of a page in one order: the last anchor so far is the one that has been passed
+    both = anchors.unionByName(e.filter("_shared").select("doc_id", "page", F.col("reading_order").cast("long").alias("_at"), "element_id"), allowMissingColumns=True)
+    so_far = W.partitionBy("doc_id", "page").orderBy(F.col("_at").asc_nulls_first(), F.col("_open").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    passed = both.withColumn("_passed", F.max("_open").over(so_far)["ord"]).filter("_open is null").select("doc_id", "element_id", "_passed").distinct()
+    before = outline.page_chapters(anchored, after_start=True).select("doc_id", "page", F.col("ord").alias("_before"))
+    any_ = outline.page_chapters(anchored).select("doc_id", "page", F.col("ord").alias("_any"))
+    out = e.join(before, ["doc_id", "page"], "left").join(any_, ["doc_id", "page"], "left").join(passed, ["doc_id", "element_id"], "left")
+    return out.select("doc_id", "element_id", "page", F.when(F.col("_shared"), F.coalesce("_passed", "_before")).otherwise(F.col("_any")).alias("chapter_ord"))
 
 
 def figure_number(rows: DataFrame, pattern: str = r"(?i)^\s*Fig\.?\s*(\d+)\s*$") -> DataFrame:

@@ -20,11 +20,11 @@ sampled AS (SELECT p.*, t.pages_total FROM pages_ p JOIN totals t USING (doc_id)
 def detect_profile(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     outlines = docs.select("doc_id", (F.regexp_extract("source", "[0-9]+", 0).cast("int") % 2 == 0).alias("has_outline"))
-    return detect.detect_profile(detect.page_characters(page_lines(docs)), outlines)
+    return detect.detect_profile(detect.sampled_characters(page_lines(docs, with_total=True)), outlines)
 
 
 def page_sampling(spark: SparkSession, d: str) -> DataFrame:
-    return detect.sample(detect.page_characters(page_lines(table(spark, d, "documents"))))
+    return detect.sampled_characters(page_lines(table(spark, d, "documents"), with_total=True))
 
 
 def _toc(spark: SparkSession, d: str) -> DataFrame:

@@ -214,14 +214,49 @@ def source_agreement(spark: SparkSession, d: str) -> DataFrame:
     return review.source_errors(r)
 
 
-def caption_identity(spark: SparkSession, d: str) -> DataFrame:
+def _captioned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Runs and elements with the set-up of their captions."""
     k = F.col("doc_id")
     r = derived(spark, d, "set_ups").select(
-        "doc_id", F.lit("ollama").alias("provider"), F.lit("qwen3.5:4b").alias("model"), F.col("provider_configured").alias("enabled"), F.when(k % 7 == 0, "v1").otherwise(captions.CURRENT).alias("prompt_version"), F.when(k % 9 == 0, 900).otherwise(1200).alias("max_characters"),
-        F.lit("qwen3.5:4b").alias("preflight_model"), F.when(k % 5 == 0, "0.x").when(k % 11 == 0, " 1.0").otherwise("0.34.0").alias("preflight_version"), F.when(k % 13 == 0, "abc").otherwise(F.repeat(F.lit("a"), 64)).alias("preflight_digest"), F.repeat(F.lit("a"), F.lit(64)).alias("accepted_digest"),
+        "doc_id", "provider_configured", F.lit("ollama").alias("provider"), F.lit("qwen3.5:4b").alias("model"), F.col("provider_configured").alias("enabled"), F.when(k % 7 == 0, "v1").otherwise(captions.CURRENT).alias("prompt_version"), F.when(k % 9 == 0, 900).otherwise(1200).alias("max_characters"),
+        F.lit("qwen3.5:4b").alias("preflight_model"), F.when(k % 5 == 0, "0.x").when(k % 11 == 0, " 1.0").otherwise("0.34.0").alias("preflight_version"), F.when(k % 13 == 0, "abc").otherwise(F.repeat(F.lit("a"), F.lit(64))).alias("preflight_digest"), F.repeat(F.lit("a"), F.lit(64)).alias("accepted_digest"),
+        F.create_map(F.lit("model"), F.when(k % 17 == 0, "other").otherwise("qwen3.5:4b"), F.lit("num_ctx"), F.lit("4096")).alias("provider_config"),
     )
-    e = derived(spark, d, "visuals").withColumns({"prompt_version": F.when(F.col("provider").isNotNull(), captions.CURRENT), "runtime_version": F.when(F.col("provider").isNotNull() & (F.col("element_id") % 41 != 0), "0.34.0")})
-    return review.identity_errors(r, e)
+    known = F.col("provider").isNotNull()
+    e = derived(spark, d, "visuals").withColumns({"prompt_version": F.when(known, captions.CURRENT), "runtime_version": F.when(known & (F.col("element_id") % 41 != 0), "0.34.0"), "params": F.create_map(F.lit("num_ctx"), F.when(F.col("element_id") % 29 == 0, "1").otherwise("4096"))})
+    return r, e
+
+
+def caption_identity(spark: SparkSession, d: str) -> DataFrame:
+    return review.identity_errors(*_captioned(spark, d))
+
+
+def caption_parameters(spark: SparkSession, d: str) -> DataFrame:
+    r, e = _captioned(spark, d)
+    return review.parameter_errors(e, r)
+
+
+def enrichment_evidence(spark: SparkSession, d: str) -> DataFrame:
+    r, e = _captioned(spark, d)
+    return review.enrichment_evidence(r, e, derived(spark, d, "enriched").filter("element_id % 3 = 0"))
+
+
+def report_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Every run's checks of what it says in several places, from the errors of each."""
+    source = source_agreement(spark, d)
+    errors = {
+        "run_id.coherent": source.filter("error = 'run_id'"), "source.coherent": source.filter("error <> 'run_id'"), "captions.provenance.consistent": caption_consistency(spark, d), "captions.provenance.identity": caption_identity(spark, d),
+        "promotion.evidence.coherent": enrichment_items(spark, d).unionByName(pipeline_transitions(spark, d)).unionByName(trace_exclusions(spark, d)), "validation.artifact": report_compare(spark, d), "pages.content": page_set(spark, d),
+    }
+    return review.report_checks(derived(spark, d, "set_ups"), errors)
+
+
+def profile_reasons(spark: SparkSession, d: str) -> DataFrame:
+    from docgrid.operators import detect
+    from docgrid.plans.queries import detect_profile
+
+    entries = F.when(F.regexp_extract("source", "[0-9]+", 0).cast("int") % 2 == 0, 3).otherwise(0)
+    return detect.reasons(detect_profile(spark, d), table(spark, d, "documents").select("doc_id", entries.alias("entries"))).select("doc_id", F.array_join("reasons", "|").alias("reasons"))
 
 
 def status_promotion(spark: SparkSession, d: str) -> DataFrame:
@@ -350,7 +385,7 @@ def bundle_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     rotated_bbox, bbox_percentage, area_fraction, ocr_blocks, embedded_titles, content_order, root_order, anchor_disorder, chapter_ids, profile_routing, profile_guards, page_selection, page_set, page_batches, element_guards, detach_index, diagnostic_exclusions, table_warnings,
-    id_differences, enrichment_items, pipeline_transitions, trace_exclusions, caption_consistency, reconstruction_replay, replay_errors, table_agreement, source_agreement, caption_identity, status_promotion, report_compare, run_metrics, status_counts, failure_reports, run_ids,
+    id_differences, enrichment_items, pipeline_transitions, trace_exclusions, caption_consistency, reconstruction_replay, replay_errors, table_agreement, source_agreement, caption_identity, caption_parameters, enrichment_evidence, report_checks, profile_reasons, status_promotion, report_compare, run_metrics, status_counts, failure_reports, run_ids,
     pipeline_selection, caption_prompts, context_texts, figure_sections, check_families, first_failed, type_counts, record_labels, node_neighbours, tree_lines, safe_addresses, shown_tables, description_fields, rebuilt_commands, run_contradictions, bundle_agreement,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -495,3 +530,46 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY t, c)::INT AS lin
     "bundle_agreement": _with("results") + ", r AS (SELECT *, CASE WHEN doc_id % 37 = 0 THEN 'a/b' ELSE run_id END AS id FROM results) " + _rules("r", {"manual_id": "id <> manual_id", "report_id": "id <> run_id", "status": "doc_id % 3 = 0 AND doc_id % 6 = 0", "unsafe_id": "doc_id % 37 = 0"}),
 }
 ORACLE_SQL["shown_tables"] = _with("pipe_tables") + r" SELECT id, CASE WHEN id % 3 <> 2 AND id % 5 <> 0 THEN 3 END AS n_rows, CASE WHEN id % 3 <> 2 AND id % 5 <> 0 THEN regexp_extract(markdown, '\| ([^|]*) \| a\\\|b \|', 1) || ';a|b' END AS third FROM pipe_tables"
+
+ORACLE_SQL["caption_parameters"] = _with("visuals", "set_ups") + " SELECT doc_id, element_id AS id, 'num_ctx' AS error FROM visuals JOIN set_ups USING (doc_id) WHERE provider IS NOT NULL AND element_id % 29 = 0"
+ORACLE_SQL["enrichment_evidence"] = _with("visuals", "enriched", "set_ups") + """, f AS (SELECT DISTINCT doc_id FROM enriched WHERE status = 'failed' AND element_id % 3 = 0), l AS (SELECT DISTINCT doc_id FROM visuals WHERE type = 'image' AND exclusion_reason = 'caption provider unavailable in diagnostic run'),
+r AS (SELECT doc_id, CASE WHEN NOT provider_configured THEN 'not_configured' WHEN doc_id % 17 = 0 OR doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'set_up' WHEN doc_id IN (SELECT doc_id FROM f) THEN 'failed' WHEN doc_id IN (SELECT doc_id FROM l) THEN 'left_out' END AS reason FROM set_ups) SELECT doc_id, reason IS NULL AS passed, reason FROM r"""
+
+
+def _as_relation(name: str) -> str:
+    return f"({ORACLE_SQL[name]})"
+
+
+_EVIDENCE = " UNION ALL ".join(f"SELECT doc_id FROM {_as_relation(n)}" for n in ("enrichment_items", "pipeline_transitions", "trace_exclusions"))
+_ERRORS = {
+    "run_id.coherent": f"SELECT doc_id FROM {_as_relation('source_agreement')} WHERE error = 'run_id'", "source.coherent": f"SELECT doc_id FROM {_as_relation('source_agreement')} WHERE error <> 'run_id'", "captions.provenance.consistent": f"SELECT doc_id FROM {_as_relation('caption_consistency')}",
+    "captions.provenance.identity": f"SELECT doc_id FROM {_as_relation('caption_identity')}", "promotion.evidence.coherent": _EVIDENCE, "validation.artifact": f"SELECT doc_id FROM {_as_relation('report_compare')}", "pages.content": f"SELECT doc_id FROM {_as_relation('page_set')}",
+}
+ORACLE_SQL["report_checks"] = "WITH every AS (SELECT CAST(c_custkey AS INT) AS doc_id, unnest([" + ", ".join(f"'{n}'" for n in _ERRORS) + "]) AS check_id FROM customer), found AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS check_id FROM ({q})" for n, q in _ERRORS.items()) + ") SELECT e.doc_id, e.check_id, count(f.doc_id) = 0 AS passed, count(f.doc_id) AS errors FROM every e LEFT JOIN found f ON e.doc_id = f.doc_id AND e.check_id = f.check_id GROUP BY ALL"
+
+
+def _reasons_sql() -> str:
+    from docgrid.operators import detect
+    from docgrid.plans.queries import ORACLE_SQL as base
+
+    return f"""WITH p AS ({base["detect_profile"]}), q AS (SELECT p.*, regexp_extract(d.source, '[0-9]+')::INT % 2 = 0 AS has, greatest(1, ceil(sampled * 0.75))::INT AS need FROM p JOIN documents d USING (doc_id)),
+s AS (SELECT *, with_text || '/' || sampled || ' sampled pages (' || printf('%.1f', with_text / sampled * 100) || '%) contain at least 40 non-whitespace characters (minimum required: ' || need || '/' || sampled || ' under the 75% digital-coverage policy).' AS policy FROM q)
+SELECT doc_id, CASE WHEN has THEN 'Embedded PDF outline detected (3 entries).' ELSE 'No embedded PDF outline detected.' END || '|' || CASE WHEN text_layer THEN 'Robust text-layer coverage detected: ' ELSE 'Insufficient text-layer coverage for a digital profile: ' END || policy || '|Median sampled text count: ' || printf('%.1f', median_chars) || ' non-whitespace characters.|'
+ || CASE WHEN profile = 'digital_outline' THEN '{detect.SELECTED[1]}' WHEN profile = 'digital_reconstructed' THEN '{detect.SELECTED[3]}' WHEN with_text > 0 THEN 'Selected scanned_ocr fail closed because usable text appears on only ' || with_text || '/' || sampled || ' sampled pages, below the required ' || need || '/' || sampled || ' digital coverage.' || CASE WHEN has THEN '{detect.CLAUSE}' ELSE '' END
+  WHEN has THEN '{detect.OUTLINE_ALONE}' ELSE '{detect.NEITHER}' END AS reasons FROM s"""
+
+
+ORACLE_SQL["profile_reasons"] = _reasons_sql()
+
+
+def _from_others() -> dict[str, str]:
+    from docgrid.plans.queries import ORACLE_SQL as base
+    from docgrid.plans.structure_queries import ORACLE_SQL as structure
+
+    return {
+        "profile_routing": f"SELECT doc_id, profile AS plan, CASE WHEN doc_id % 3 = 0 THEN 'asked' ELSE 'doc.' || doc_id END AS title FROM ({base['detect_profile']})",
+        "status_promotion": f"WITH g AS ({structure['promotion_gates']}) SELECT doc_id, string_agg(gate_id, ',' ORDER BY gate_no) AS failed FROM g WHERE doc_id % 2 = 0 AND NOT coalesce(passed, false) GROUP BY doc_id",
+    }
+
+
+ORACLE_SQL |= _from_others()

@@ -24,6 +24,8 @@ DERIVED = {
     "refs": "SELECT CAST(floor(p_partkey / 40) AS INT) AS doc_id, CAST(p_partkey AS INT) AS ref_no, CASE WHEN p_partkey % 2 = 0 THEN 'a-' ELSE '' END || CAST(p_partkey % 45 AS VARCHAR(9)) AS page_ref FROM {part}",
     "sized_lines": """SELECT CAST(p_partkey AS INT) AS line, p_size / CAST(2 AS DOUBLE) AS font_size, CASE WHEN p_partkey % 3 = 0 THEN 'Any-Bold' ELSE 'Any' END AS font_name, CAST(p_partkey * 37 % 600 AS DOUBLE) AS x0, CAST(595 AS DOUBLE) AS page_width,
  CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) WHEN p_partkey % 5 = 1 THEN '1.2 ' || p_name WHEN p_partkey % 5 = 2 THEN 'IV. ' || p_name ELSE p_name END AS text FROM {part}""",
+    "match_rows": "SELECT CAST(floor(p_partkey / 40) AS INT) AS doc_id, CAST(p_partkey % 40 AS INT) AS index, CAST(p_size % 9 + 1 AS VARCHAR(9)) || '.1 ' || p_name AS title, CAST(p_partkey % 9 + 1 AS INT) AS resolved_page FROM {part}",
+    "match_heads": "SELECT CAST(floor(p_partkey / 40) AS INT) AS doc_id, CAST(p_partkey % 40 AS INT) AS index, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN CAST(p_size % 9 + 1 AS VARCHAR(9)) || '.1 ' || p_name || ' and more' ELSE p_type END AS title, CAST(p_partkey % 11 + 1 AS INT) AS page FROM {part}",
     "vote_rows": "SELECT CAST(floor(p_partkey / 50) AS INT) AS doc_id, p_name AS title, CAST(p_partkey % 50 AS INT) AS printed_page FROM {part}",
     "vote_headings": "SELECT CAST(floor(p_partkey / 50) AS INT) AS doc_id, upper(p_name) AS title, CAST(p_partkey % 50 + 3 + p_partkey % 2 AS INT) AS page FROM {part} WHERE p_partkey % 3 = 0",
     "atlas": """SELECT 'atlas' AS doc_id, 'r' || CAST(r_regionkey AS VARCHAR(20)) AS node_id, CAST(NULL AS VARCHAR(20)) AS parent, CAST(NULL AS VARCHAR(20)) AS grand, r_name AS text FROM {region}
@@ -104,10 +106,8 @@ def toc_scanner(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_title_match(spark: SparkSession, d: str) -> DataFrame:
-    """The best of the first lines of documents for each benchmark item of the same remainder."""
-    items = table(spark, d, "benchmark").select((F.col("item_id") % 50).cast("int").alias("doc_id"), F.col("item_id").cast("int").alias("index"), F.substring("text", 1, 80).alias("title"), F.lit(1).alias("resolved_page"))
-    heads = page_lines(table(spark, d, "documents")).filter("line_no = 0").select((F.col("doc_id") % 50).cast("int").alias("doc_id"), F.col("doc_id").cast("int").alias("index"), F.substring("text", 1, 80).alias("title"), (F.col("doc_id") % 9).cast("int").alias("page"), F.lit(0.5).alias("confidence"))
-    return printed.match_headings(items, heads)
+    """The best heading of a document for each row of its index; headings are titles with a word more or less."""
+    return printed.match_headings(derived(spark, d, "match_rows"), derived(spark, d, "match_heads").withColumn("confidence", F.lit(0.5)))
 
 
 def fold_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -220,6 +220,7 @@ differ AS (SELECT coalesce(t.doc_id, c.doc_id) AS doc_id, coalesce(t.ord, c.ord)
 absent AS (SELECT doc_id, element_id, image_path FROM run_elements e WHERE image_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM run_files f WHERE f.doc_id = e.doc_id AND f.path = e.image_path))"""
 
 ORACLE_SQL = {
+    "fold_titles": r"""SELECT doc_id, trim(regexp_replace(replace(lower(string_split(text, chr(10))[1]), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')) AS norm FROM documents""",
     "toc_page_score": _SCORES + " SELECT * FROM scores",
     "toc_island": _SCORES + """, g AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) AS g FROM scores), r AS (SELECT doc_id, sum(round(score * 10)) AS s, count(*) AS n, min(page) AS a FROM g GROUP BY doc_id, g),
 b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, n DESC, a) = 1) SELECT doc_id, unnest(range(a, a + n))::INT AS page FROM b""",
