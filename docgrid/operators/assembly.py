@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from docgrid.functions import text as T
 from docgrid.functions.unicode import nfkc
 from docgrid.operators import outline, tree
+from docgrid.sources.staging import staged
 
 #: Profiles, the least score of an anchor and its distance from the next, titles of one span, the mark of index pages.
 PROFILES = ("digital_outline", "digital_reconstructed", "scanned_ocr")
@@ -190,10 +191,11 @@ def assemble(toc: DataFrame, totals: DataFrame, elements: DataFrame) -> tuple[Da
     chapters = outline.chapters(toc, totals).withColumn("chapter_id", chapter_id(F.row_number().over(W.partitionBy("doc_id").orderBy("ord")) - 1, F.col("title")))
     elements = elements.withColumn("reading_order", F.coalesce("reading_order", F.row_number().over(W.partitionBy("doc_id").orderBy("ord")) - 1))
     titles = elements.filter("type = 'title'").select("doc_id", "page", "element_id", "reading_order", "text")
-    anchors = page_anchors(chapters, titles)
+    chapters = staged(chapters)
+    anchors = staged(page_anchors(chapters, titles))
     anchored = chapters.join(anchors.select("doc_id", "ord", "anchor", F.lit(True).alias("shared")), ["doc_id", "ord"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
     homes = tree.chapter_at(elements.select("doc_id", "element_id", "page", "reading_order"), anchored).select("doc_id", "element_id", "chapter_ord")
-    placed = elements.join(homes, ["doc_id", "element_id"])
+    placed = staged(elements.join(homes, ["doc_id", "element_id"]))
     items = anchored.select("doc_id", F.col("parent_ord").alias("parent"), F.col("ord").cast("long").alias("ord"), F.lit("chapter").alias("kind"), "page", F.col("anchor").alias("at"), F.col("chapter_id").alias("id"))
     items = items.unionByName(placed.select("doc_id", F.col("chapter_ord").alias("parent"), F.col("ord").cast("long").alias("ord"), F.lit("element").alias("kind"), "page", F.col("reading_order").cast("long").alias("at"), F.col("element_id").cast("string").alias("id")))
     order = content_order(items).select("doc_id", "kind", "id", "position")
