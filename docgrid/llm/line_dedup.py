@@ -21,9 +21,10 @@ with the white space before each, where they are ``LONG_WORDS`` or more. Each en
 of its gram only: where that place shares fewer words than a later one does, up to WORD_WINDOW - 1 words of the
 longer match stay at that end.
 
-All of it is rows of bounded size: a fingerprint's copies all point to one place, a match holds 24
-words about each end, and intervals are merged by windows over a document's rows, so that work grows
-with the lines and words, also where they are all alike.
+All of it is rows of bounded size: documents are numbered in their order, so that a place is one number; a
+fingerprint's copies all point to one place, a match holds 24 words about each end, and intervals are merged
+by windows over a document's rows, so that work grows with the lines and words, also where they are all alike.
+Copies of a whole text are one text until the end. Numbers hold 2^36 documents of up to 2^27 lines and words.
 
 Defined cases: null is a text without lines and stays null; lines are compared without white space at
 their ends; rows equal in id and text are one document and all get its result; a null id comes
@@ -44,8 +45,8 @@ from docgrid.llm.common import SPACE, WORD, cut
 GRAM, WINDOW, LONG_WORDS = 2, 2, 50
 #: Their sum less one is LONG_WORDS.
 WORD_GRAM, WORD_WINDOW = 26, 25
-_PLACE = 1 << 31
-#: A document: hashes of id and text.
+_BITS = 27
+#: A document in the input: hashes of id and text.
 _DOC = ("_key", "_th")
 
 
@@ -66,12 +67,59 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-# --- fingerprints ----------------------------------------------------------------------------
+def numbered(docs: DataFrame) -> DataFrame:
+    """(_key, _th, _o, _copy) of documents (_id, _key, _th): numbers in the order of id and text hash, without gaps,
+    and whether an earlier document has the same text.
+
+    Range partitions are counted, and only the counts meet in one place.
+    """
+    order = [F.col("_id").asc_nulls_first(), F.col("_th").asc()]
+    own = cut(docs.groupBy("_id", *_DOC).agg(F.lit(1)).select("_id", *_DOC))
+    own = cut(own.repartitionByRange(*order).sortWithinPartitions(*order).select(*_DOC, F.monotonically_increasing_id().alias("_m")))
+    part = F.shiftright("_m", 33)
+    parts = own.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    parts = parts.select("_p", (F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).alias("_from"))
+    own = own.withColumn("_p", part).join(F.broadcast(parts), "_p").select(*_DOC, (F.col("_from") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).alias("_o"))
+    first = own.groupBy("_th").agg(F.min("_o").alias("_f"))
+    return cut(own.join(first, "_th").select(*_DOC, "_o", (F.col("_o") != F.col("_f")).alias("_copy")))
+
+
+def _place(o: str, pos: str) -> Column:
+    return F.shiftleft(F.col(o), _BITS).bitwiseOR(F.col(pos).cast("long"))
+
+
+def _doc(place: Column) -> Column:
+    return F.shiftright(place, _BITS)
+
+
+def _pos(place: Column) -> Column:
+    return place.bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int")
+
+
+def _earlier(marks: DataFrame, apart: Column) -> DataFrame:
+    """``marks`` (_k, _at, ...) whose key stands at an earlier place _s that does not overlap."""
+    first = marks.groupBy("_k").agg(F.min("_at").alias("_s"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(F.col("_k").alias("_key"), "_s")
+    return marks.join(first, F.col("_k") == F.col("_key")).filter(F.col("_at") - F.col("_s") >= apart).drop("_key")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """(_o, first, last): the intervals of a document, those that overlap or touch as one."""
+    rows = rows.groupBy("_o", "first").agg(F.max("last").alias("last"))
+    order = W.partitionBy("_o").orderBy("first")
+    rows = rows.withColumn("_reach", F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("_run", F.count(F.when(F.col("_reach").isNull() | (F.col("first") > F.col("_reach") + 1), 1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.groupBy("_o", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
 
 
-def line_hashes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _key, _th, _h, _n): the hashes and word counts of each document's lines."""
-    docs = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), _key(id_col).alias("_key"), F.xxhash64(text_col).alias("_th"), F.split(F.col(text_col), "\n", -1).alias("_l"))
+def _by_document(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("_o").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+
+
+# --- lines -----------------------------------------------------------------------------------
+
+
+def line_hashes(docs: DataFrame) -> DataFrame:
+    """(_key, _th, _h, _n): the hashes and word counts of each document's lines."""
 
     def line(x: Column) -> Column:
         # single spaces between words are counted as bytes, all else by a regular expression
@@ -79,65 +127,40 @@ def line_hashes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         n = F.when(odd, F.regexp_count(x, F.lit(WORD))).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
         return F.struct(F.xxhash64(F.btrim(x, F.lit(" \t\x0b\f\r"))).alias("h"), n.alias("n"))
 
-    docs = docs.select("_id", *_DOC, F.transform("_l", line).alias("_l"))
-    return docs.select("_id", *_DOC, F.col("_l.h").alias("_h"), F.col("_l.n").alias("_n"))
+    docs = docs.filter(F.col("_text").isNotNull()).select(*_DOC, F.transform(F.split("_text", "\n", -1), line).alias("_l"))
+    return docs.select(*_DOC, F.col("_l.h").alias("_h"), F.col("_l.n").alias("_n"))
 
 
 def line_marks(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
-    """(_id, _key, _th, pos, size, hash, long, before, after): the fingerprints, and the hashes of the lines about them."""
+    """(_o, pos, size, hash, long, before, after): the fingerprints of documents (_o, _h, _n), and the hashes of the lines about them."""
     h, n = F.col("_h"), F.col("_n")
     gram = F.zip_with(h, _ahead(h, 1), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
     rows = _let(gram, lambda g: F.arrays_zip(
         h.alias("h"), n.alias("n"), g.alias("g"), _back(h, "bigint").alias("h0"), _ahead(h, 1).alias("h1"), _ahead(h, 2).alias("h2"),
         _ahead(n, 1).alias("n1"), _back(g, "bigint").alias("g0"), _ahead(g, 1).alias("g1"),
     ))
-    rows = docs.select("_id", *_DOC, F.posexplode(rows).alias("pos", "_r")).select("_id", *_DOC, "pos", "_r.*").filter(F.col("h").isNotNull())
+    rows = docs.select("_o", F.posexplode(rows).alias("pos", "_r")).select("_o", "pos", "_r.*").filter(F.col("h").isNotNull())
     long, longs = F.col("n") >= long_words, F.col("n") + F.coalesce("n1", F.lit(0)) >= long_words
     # the least of a window of two grams: the first of equals; a gram without neighbours is its own window
     least = (F.col("g") <= F.col("g1")) | (F.col("g") < F.col("g0")) | (F.col("g0").isNull() & F.col("g1").isNull())
     two = F.when(F.col("g").isNotNull() & (F.coalesce(least, F.lit(False)) | longs), F.struct(F.lit(2).alias("size"), F.col("g").alias("hash"), longs.alias("long"), F.col("h0").alias("before"), F.col("h2").alias("after")))
     one = F.when(long, F.struct(F.lit(1).alias("size"), F.col("h").alias("hash"), F.lit(True).alias("long"), F.col("h0").alias("before"), F.col("h1").alias("after")))
-    return rows.select("_id", *_DOC, "pos", F.explode(F.filter(F.array(two, one), lambda m: m.isNotNull())).alias("_m")).select("_id", *_DOC, "pos", "_m.*")
+    return rows.select("_o", "pos", F.explode(F.filter(F.array(two, one), lambda m: m.isNotNull())).alias("_m")).select("_o", "pos", "_m.*")
 
 
-def _shared(marks: DataFrame) -> DataFrame:
-    """The marks whose hash stands more than once; counted before they are dealt out."""
+def repeated_runs(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """(_o, runs): for each document (_o, _h, _n) with repeated lines, the runs (first, last) of 0-based lines to delete."""
+    marks = line_marks(docs, long_words)
     often = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(F.col("hash").alias("_often"))
-    return cut(marks.join(often, F.col("hash") == F.col("_often"), "left_semi"))
-
-
-def _first(marks: DataFrame, key: Column, apart: Column) -> DataFrame:
-    """The marks with ``key`` that have an earlier place, which is ``_s``; the two do not overlap."""
-    marks = marks.withColumn("_of", key).filter(F.col("_of").isNotNull())
-    first = marks.groupBy("_of").agg(F.min(F.struct("_id", "_th", "pos", "_key")).alias("_s"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(F.col("_of").alias("_k"), "_s")
-    own = (F.col("_key") == F.col("_s._key")) & (F.col("_th") == F.col("_s._th"))
-    return marks.join(first, F.col("_of") == F.col("_k")).filter(~own | (F.col("pos") - F.col("_s.pos") >= apart))
-
-
-def _merged(rows: DataFrame) -> DataFrame:
-    """(_key, _th, first, last): the intervals of a document, those that overlap or touch as one."""
-    rows = rows.groupBy(*_DOC, "first").agg(F.max("last").alias("last"))
-    order = W.partitionBy(*_DOC).orderBy("first")
-    rows = rows.withColumn("_reach", F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1)))
-    rows = rows.withColumn("_run", F.count(F.when(F.col("_reach").isNull() | (F.col("first") > F.col("_reach") + 1), 1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.groupBy(*_DOC, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
-
-
-def _by_document(runs: DataFrame) -> DataFrame:
-    return runs.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
-
-
-def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
-    """(_key, _th, runs): for each document with repeated lines, the runs (first, last) of 0-based lines to delete."""
-    marks = _shared(line_marks(cut(line_hashes(df, id_col, text_col)), long_words))
-    place = F.struct("size", "hash")
-    copies = _first(marks, place, F.col("size")).filter("long").select(*_DOC, F.col("pos").alias("first"), (F.col("pos") + F.col("size") - 1).alias("last"))
-    back = _first(marks, F.when(F.col("before").isNotNull(), F.struct("size", "hash", "before")), F.col("size") + 1)
-    ahead = _first(marks, F.when(F.col("after").isNotNull(), F.struct("size", "hash", "after")), F.col("size") + 1)
-    back = back.select(*_DOC, (F.col("pos") - 1).alias("first"), (F.col("pos") + F.col("size") - 1).alias("last"))
-    ahead = ahead.select(*_DOC, F.col("pos").alias("first"), (F.col("pos") + F.col("size")).alias("last"))
-    # one line with its neighbour is a run of two: long, or no run
-    runs = copies.unionByName(back.filter(F.col("last") - F.col("first") >= GRAM)).unionByName(ahead.filter(F.col("last") - F.col("first") >= GRAM))
+    marks = marks.join(often, F.col("hash") == F.col("_often"), "left_semi")
+    # a fingerprint by itself where it is long, and with the line before and the line after it
+    key = lambda kind, *of: F.xxhash64(F.lit(kind), F.col("size"), F.col("hash"), *of)
+    run = lambda when, k, lo, n: F.when(when, F.struct(k.alias("_k"), lo.alias("lo"), n.alias("n")))
+    zero, two = F.lit(0), F.col("size") == GRAM
+    kinds = F.array(run(F.col("long"), key(0), zero, F.col("size")), run(two & F.col("before").isNotNull(), key(1, F.col("before")), F.lit(-1), F.col("size") + 1), run(two & F.col("after").isNotNull(), key(2, F.col("after")), zero, F.col("size") + 1))
+    keys = marks.select("_o", "pos", F.explode(F.filter(kinds, lambda r: r.isNotNull())).alias("_r")).select("_r._k", _place("_o", "pos").alias("_at"), "_r.lo", "_r.n")
+    found = _earlier(cut(keys), F.col("n"))
+    runs = found.select(_doc(F.col("_at")).alias("_o"), (_pos(F.col("_at")) + F.col("lo")).alias("first"), (_pos(F.col("_at")) + F.col("lo") + F.col("n") - 1).alias("last"))
     return _by_document(_merged(runs))
 
 
@@ -153,7 +176,8 @@ def words_of(text: Column) -> Column:
 
 
 def word_marks(texts: DataFrame, gram: int = WORD_GRAM, window: int = WORD_WINDOW) -> DataFrame:
-    """(_id, _key, _th, _f): the places and hashes of the grams of words that are fingerprints, for documents with _text."""
+    """(_o, _f): the places and hashes of the grams of words that are fingerprints, for documents (_o, _text)."""
+    low = (1 << _BITS) - 1
 
     def least(values: Column, width: int = 1) -> Column:
         """The least of each window, by doubling."""
@@ -163,14 +187,15 @@ def word_marks(texts: DataFrame, gram: int = WORD_GRAM, window: int = WORD_WINDO
         pairs = lambda v: F.zip_with(F.slice(v, 1, F.greatest(F.lit(0), F.size(v) - step)), F.slice(v, step + 1, F.size(v)), lambda a, b: F.least(a, b))
         return least(_let(values, pairs), width + step)
 
-    def marks(h: Column) -> Column:
-        # the hash's upper half, then the place: the least of a window tells where it stands, the first of equals
-        placed = F.transform(F.slice(h, 1, F.greatest(F.lit(0), F.size(h) - gram + 1)), lambda x, i: F.shiftright(x, 32) * F.lit(_PLACE) + i)
-        at = F.transform(F.array_distinct(least(placed)), lambda v: v.bitwiseAND(F.lit(_PLACE - 1)).cast("int"))
-        return F.transform(at, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.slice(h, p + 1, F.lit(gram))).alias("hash")))
+    def marks(words: Column) -> Column:
+        # a word's hash above its place: the least of a window tells where it stands, the first of equals
+        starts = F.slice(words, 1, F.greatest(F.lit(0), F.size(words) - gram + 1))
+        placed = F.transform(starts, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(~low)).bitwiseOR(i))
+        at = F.transform(F.array_distinct(least(placed)), lambda v: v.bitwiseAND(F.lit(low)).cast("int"))
+        return F.transform(at, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.slice(words, p + 1, F.lit(gram))).alias("hash")))
 
     texts = texts.filter(F.octet_length("_text") >= 2 * (gram + window) - 3)
-    return texts.select("_id", *_DOC, _let(F.transform(words_of(F.col("_text")), lambda x: F.xxhash64(x)), marks).alias("_f"))
+    return texts.select("_o", _let(words_of(F.col("_text")), marks).alias("_f"))
 
 
 def _equal(a: Column, b: Column) -> Column:
@@ -184,21 +209,22 @@ def _equal(a: Column, b: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, *, gram: int = WORD_GRAM, window: int = WORD_WINDOW) -> DataFrame:
-    """(_key, _th, runs) for documents (_id, _key, _th, _text): the runs (first, last) of gram + window - 1 words or more to cut, by 0-based words."""
+    """(_o, runs) for documents (_o, _text): the runs (first, last) of gram + window - 1 words or more to cut, by 0-based words."""
     around, least = window - 1, gram + window - 1
-    texts = docs.filter(F.col("_text").isNotNull())
-    marks = cut(word_marks(texts, gram, window)).select("_id", *_DOC, F.explode("_f").alias("_f")).select("_id", *_DOC, "_f.*")
-    pairs = _first(_shared(marks), F.col("hash"), F.lit(gram)).select(*_DOC, "pos", F.struct("_s.pos", "_s._key", "_s._th").alias("_s")).distinct()
+    marks = cut(word_marks(docs, gram, window)).select("_o", F.explode("_f").alias("_f")).select(F.col("_f.hash").alias("_k"), F.shiftleft("_o", _BITS).bitwiseOR(F.col("_f.pos").cast("long")).alias("_at"))
+    pairs = _earlier(marks, F.lit(gram)).groupBy("_at").agg(F.min("_s").alias("_s"))
+    pairs = pairs.select(_doc(F.col("_at")).alias("_o"), _pos(F.col("_at")).alias("pos"), "_s")
     # grams that touch are one match, whichever places they stand at first; its ends go by their own grams
-    order = W.partitionBy(*_DOC).orderBy("pos")
-    pairs = pairs.withColumn("_new", F.coalesce(F.col("pos") - F.lag("pos").over(order) > gram, F.lit(True)))
-    pairs = pairs.withColumn("_run", F.count(F.when(F.col("_new"), 1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    runs = cut(pairs.groupBy(*_DOC, "_run").agg(F.min(F.struct("pos", "_s")).alias("_lo"), F.max(F.struct("pos", "_s")).alias("_hi")))
+    order = W.partitionBy("_o").orderBy("pos")
+    pairs = pairs.withColumns({"_new": F.coalesce(F.col("pos") - F.lag("pos").over(order) > gram, F.lit(True)), "_end": F.coalesce(F.lead("pos").over(order) - F.col("pos") > gram, F.lit(True))}).filter("_new or _end")
+    # what is left are the first and the last gram of each match, one row where they are one
+    runs = pairs.withColumns({"_to": F.when(F.col("_end"), F.col("pos")).otherwise(F.lead("pos").over(order)), "_e": F.when(F.col("_end"), F.col("_s")).otherwise(F.lead("_s").over(order))})
+    runs = cut(runs.filter("_new").select("_o", F.col("pos").alias("_at"), "_to", "_s", "_e"))
 
     # only documents of a match are dealt out, as words: those about its ends are taken from each of the texts
-    ends = runs.select(*_DOC).union(runs.select("_lo._s._key", "_lo._s._th")).union(runs.select("_hi._s._key", "_hi._s._th")).distinct()
-    own = texts.join(ends, list(_DOC), "left_semi").groupBy(*_DOC).agg(F.first("_text").alias("_text"))
-    own = cut(own.select(F.col("_key").alias("_wkey"), F.col("_th").alias("_wth"), words_of(F.col("_text")).alias("_p")))
+    ends = runs.select("_o").union(runs.select(_doc(F.col("_s")))).union(runs.select(_doc(F.col("_e")))).distinct()
+    own = docs.join(ends, "_o", "left_semi").groupBy("_o").agg(F.first("_text").alias("_text"))
+    own = cut(own.select(F.col("_o").alias("_w"), words_of(F.col("_text")).alias("_p")))
 
     def before(at: Column) -> Column:
         start = F.greatest(F.lit(0), at - around)
@@ -207,11 +233,9 @@ def repeated_spans(docs: DataFrame, *, gram: int = WORD_GRAM, window: int = WORD
     def after(at: Column) -> Column:
         return F.slice("_p", at + gram + 1, F.lit(around))
 
-    at = lambda key, th: (F.col("_wkey") == F.col(key)) & (F.col("_wth") == F.col(th))
-    lo, hi = F.col("_lo.pos"), F.col("_hi.pos")
-    runs = runs.join(own, at("_key", "_th")).select(*_DOC, "_lo._s", F.col("_hi._s").alias("_e"), lo.alias("_first"), hi.alias("_last"), before(lo).alias("_a"), after(hi).alias("_b"))
-    runs = runs.join(own, at("_s._key", "_s._th")).select(*_DOC, "_e", "_b", "_last", (F.col("_first") - _equal(F.col("_a"), before(F.col("_s.pos")))).alias("first"))
-    runs = runs.join(own, at("_e._key", "_e._th")).select(*_DOC, "first", (F.col("_last") + gram - 1 + _equal(F.col("_b"), after(F.col("_e.pos")))).alias("last"))
+    runs = runs.join(own, F.col("_o") == F.col("_w")).select("_o", "_at", "_to", "_s", "_e", before(F.col("_at")).alias("_a"), after(F.col("_to")).alias("_b"))
+    runs = runs.join(own, _doc(F.col("_s")) == F.col("_w")).select("_o", "_to", "_e", "_b", (F.col("_at") - _equal(F.col("_a"), before(_pos(F.col("_s"))))).alias("first"))
+    runs = runs.join(own, _doc(F.col("_e")) == F.col("_w")).select("_o", "first", (F.col("_to") + gram - 1 + _equal(F.col("_b"), after(_pos(F.col("_e"))))).alias("last"))
     return _by_document(_merged(runs.filter(F.col("last") - F.col("first") + 1 >= least)))
 
 
@@ -238,15 +262,20 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     told = ("__n_lines", "__n_removed", "__runs", "__n_words_removed", "__spans")
     rest = [c for c in df.columns if c not in (id_col, text_col, *told)]
     base = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*(F.col(c) for c in rest)).alias("_rest") if rest else F.lit(0).alias("_rest"), _key(id_col).alias("_key"), F.xxhash64(text_col).alias("_th"))
-    runs = repeated_runs(base, id_col="_id", text_col="_text", long_words=long_words).withColumnRenamed("runs", "_runs")
-    out = base.join(runs, list(_DOC), "left")
-    n = F.coalesce(F.regexp_count("_text", F.lit("\n")) + 1, F.lit(0)).cast("long")
+    numbers = numbered(base.filter(F.col("_text").isNotNull()).select("_id", *_DOC))
+    firsts = line_hashes(base).join(numbers.filter("not _copy"), list(_DOC)).groupBy("_o").agg(F.first("_h").alias("_h"), F.first("_n").alias("_n"))
+    runs = repeated_runs(cut(firsts), long_words).withColumnRenamed("runs", "_runs")
+    out = base.join(numbers.join(runs, "_o", "left"), list(_DOC), "left")
+    n = F.coalesce(F.regexp_count("_text", F.lit("\n")) + 1, F.lit(0)).cast("int")
+    # a copy of a text is a run as a whole
+    whole = F.col("_copy") & ((n > GRAM + WINDOW - 2) | (F.regexp_count("_text", F.lit(WORD)) >= long_words))
+    out = out.withColumn("_runs", F.when(whole, F.array(F.struct(F.lit(0).alias("first"), (n - 1).alias("last")))).otherwise(F.col("_runs")))
     gone = F.coalesce(F.aggregate("_runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1), F.lit(0)).cast("long")
-    text = F.when(F.col("_runs").isNull(), F.col("_text")).otherwise(F.array_join(_between(F.split("_text", "\n", -1), F.col("_runs")), "\n"))
-    out = cut(out.select("_id", *_DOC, "_rest", text.alias("_text"), n.alias("_n"), gone.alias("_gone"), "_runs"))
+    text = F.when(whole, "").when(F.col("_runs").isNull(), F.col("_text")).otherwise(F.array_join(_between(F.split("_text", "\n", -1), F.col("_runs")), "\n"))
+    out = cut(out.select("_id", "_o", "_copy", "_rest", text.alias("_text"), n.cast("long").alias("_n"), gone.alias("_gone"), "_runs"))
 
-    spans = repeated_spans(out.select("_id", *_DOC, "_text")).withColumnRenamed("runs", "_spans")
-    out = out.join(spans, list(_DOC), "left")
+    spans = repeated_spans(out.filter("not _copy").select("_o", "_text")).withColumnRenamed("runs", "_spans")
+    out = out.join(spans, "_o", "left")
     # each word with the white space before it
     words = F.regexp_extract_all("_text", F.lit(f"[{SPACE}]*+{WORD}+|[{SPACE}]++$"), F.lit(0))
     text = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.array_join(_between(words, F.col("_spans")), ""))
