@@ -85,17 +85,22 @@ def features(texts: list[bytes], piece: int = _SLICE) -> np.ndarray:
     return out
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 20, seed: int = 7) -> np.ndarray:
+#: A row of features that are not 0: buckets and values.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def train_svm(x: list[Sparse], y: np.ndarray, c: float = 10.0, epochs: int = 20, seed: int = 7) -> np.ndarray:
     """Weights of a linear machine for labels 1 and -1, squared hinge loss, dual coordinate descent."""
-    w, alpha, rng = np.zeros(x.shape[1]), np.zeros(len(y)), np.random.default_rng(seed)
-    square = np.einsum("ij,ij->i", x, x) + 0.5 / c
+    w, alpha, rng = np.zeros(BUCKETS), np.zeros(len(y)), np.random.default_rng(seed)
+    square = np.array([v @ v for _, v in x]) + 0.5 / c
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            g = y[i] * (x[i] @ w) - 1 + alpha[i] * 0.5 / c
+            at, value = x[i]
+            g = y[i] * (value @ w[at]) - 1 + alpha[i] * 0.5 / c
             new = max(alpha[i] - g / square[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w[at] += (new - alpha[i]) * y[i] * value
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
@@ -111,11 +116,11 @@ class Node:
     pairs: list[tuple[int, int]] = field(default_factory=list)
     weights: np.ndarray | None = None
 
-    def fit(self, x: np.ndarray, labels: np.ndarray) -> Node:
+    def fit(self, x: list[Sparse], labels: np.ndarray) -> Node:
         columns = []
         for a, b in combinations(range(len(self.names)), 2):
-            own = (labels == self.names[a]) | (labels == self.names[b])
-            columns.append(train_svm(x[own], np.where(labels[own] == self.names[a], 1.0, -1.0)))
+            own = np.flatnonzero((labels == self.names[a]) | (labels == self.names[b]))
+            columns.append(train_svm([x[i] for i in own], np.where(labels[own] == self.names[a], 1.0, -1.0)))
             self.pairs.append((a, b))
         self.weights = np.stack(columns, 1).astype(np.float32) if columns else None
         return self
@@ -157,16 +162,16 @@ class Model:
         return names, score
 
 
-def train(x: np.ndarray, labels: np.ndarray) -> Model | None:
+def train(x: list[Sparse], labels: np.ndarray) -> Model | None:
     """A model of rows of features and their languages."""
-    if not len(x):
+    if not x:
         return None
     by_family = defaultdict(list)
     for lang in sorted(set(labels.tolist())):
         by_family[FAMILY.get(lang, f"only {lang}")].append(lang)
     family = np.array([FAMILY.get(lang, f"only {lang}") for lang in labels])
     names = sorted(by_family)
-    return Model(Node(names).fit(x, family), [Node(by_family[f]).fit(x[family == f], labels[family == f]) for f in names])
+    return Model(Node(names).fit(x, family), [Node(by_family[f]).fit([x[i] for i in np.flatnonzero(family == f)], labels[family == f]) for f in names])
 
 
 def held_out(key: str):
@@ -200,10 +205,8 @@ def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     some = rows.filter(F.col("u") / F.lit(float(1 << 40)) < F.element_at(share, F.col("l"))).dropDuplicates(["l", "u"])
     some = some.select("l", letters(F.col("t")).alias("t")).mapInPandas(_sparse, "l string, at binary, value binary")
     found = sorted((r["l"], bytes(r["at"]), bytes(r["value"])) for r in some.collect())
-    x = np.zeros((len(found), BUCKETS), np.float32)
-    for i, (_, at, value) in enumerate(found):
-        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float32)
-    return train(x, np.array([lang for lang, _, _ in found]))
+    rows = [(np.frombuffer(at, np.uint16).astype(np.int32), np.frombuffer(value, np.float32).astype(np.float64)) for _, at, value in found]
+    return train(rows, np.array([lang for lang, _, _ in found]))
 
 
 def identify(df: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
