@@ -114,7 +114,7 @@ def squeeze_lines(text: Column) -> Column:
 
 
 def provider_name(class_name: Column) -> Column:
-    """A class name in snake case, without Provider or CaptionProvider at its end."""
+    """A class name in snake case, without Provider or CaptionProvider at its end; the two patterns are fixed values."""
     short = F.regexp_replace(class_name, r"(?:Caption)?Provider$", "")
     return F.lower(F.regexp_replace(F.when(short == "", class_name).otherwise(short), r"(?<!^)(?=[A-Z])", "_"))
 

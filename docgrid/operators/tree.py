@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgrid.functions import text as T
+from docgrid.functions.unicode import nfkc
 from docgrid.operators import outline
 
 
@@ -51,8 +52,8 @@ def title_anchors(chapters: DataFrame, titles: DataFrame) -> DataFrame:
     chapter and of one of ``titles`` (doc_id, page, text, reading_order).
     """
     same_page, same_title = W.partitionBy("doc_id", "page"), W.partitionBy("doc_id", "page", "_t")
-    c = chapters.withColumn("_t", T.fold_title(F.col("title"))).withColumns({"shared": F.count(F.lit(1)).over(same_page) > 1, "_n": F.count(F.lit(1)).over(same_title)})
-    t = titles.select("doc_id", "page", T.fold_title(F.col("text")).alias("_t"), "reading_order").groupBy("doc_id", "page", "_t").agg(F.count(F.lit(1)).alias("_m"), F.max("reading_order").alias("_o"))
+    c = chapters.withColumn("_t", T.fold_title(nfkc("title"))).withColumns({"shared": F.count(F.lit(1)).over(same_page) > 1, "_n": F.count(F.lit(1)).over(same_title)})
+    t = titles.select("doc_id", "page", T.fold_title(nfkc("text")).alias("_t"), "reading_order").groupBy("doc_id", "page", "_t").agg(F.count(F.lit(1)).alias("_m"), F.max("reading_order").alias("_o"))
     out = c.join(t, ["doc_id", "page", "_t"], "left")
     return out.withColumn("anchor", F.when(F.col("shared") & (F.col("_n") == 1) & (F.col("_m") == 1), F.col("_o"))).drop("_t", "_n", "_m", "_o")
 
