@@ -12,18 +12,17 @@ words together, that stands at an earlier place as a whole is deleted; shorter r
 deleted as the copy of a line at an earlier place, so the first of all copies stays. Blank lines are part
 of a run, but are never deleted before a line that stays.
 
-What then stays is winnowed once more without regard to lines. It is cut into pieces where its words
-say so: after a word that ends with one of ``CUTS``, and after every word where that leaves more than
-``PIECE`` words. Grams of ``PIECE_GRAM`` pieces are fingerprints by windows of ``PIECE_WINDOW``; as pieces have
-six words at most, any run of ``LONG_WORDS`` words that two places share holds the seven whole pieces that
-guarantee a common one. Grams are joined to their first place, those that touch are one match, whichever
-places they stand at, and its ends are extended word by word beside the places of its first and last gram,
-which takes ``AROUND`` pieces of either text. Of the later place the shared words are cut, with the white space
-before each, where they are ``LONG_WORDS`` or more. Each end is paired with the first place of its gram only:
-where that place shares fewer words than a later one does, words of at most ``AROUND`` pieces stay at that end.
+What then stays is winnowed once more by words, without regard to lines: of every ``WORD_WINDOW`` words in a row
+the one with the least hash begins a gram of ``WORD_GRAM`` words, and any run of ``LONG_WORDS`` words that
+two places share has a common gram. Grams are joined to their first place, those that touch are one
+match, whichever places they stand at, and its ends are extended word by word beside the places of its first
+and last gram, which takes WORD_WINDOW - 1 words of either text. Of the later place the shared words are cut,
+with the white space before each, where they are ``LONG_WORDS`` or more. Each end is paired with the first place
+of its gram only: where that place shares fewer words than a later one does, up to WORD_WINDOW - 1 words of the
+longer match stay at that end.
 
 All of it is rows of bounded size: documents are numbered in their order, so that a place is one number; a
-fingerprint's copies all point to one place, a match holds four pieces about each end, and intervals are merged
+fingerprint's copies all point to one place, a match holds 24 words about each end, and intervals are merged
 by windows over a document's rows, so that work grows with the lines and words, also where they are all alike.
 Copies of a whole text are one text until the end. Numbers hold 2^36 documents of up to 2^27 lines and words.
 
@@ -44,11 +43,8 @@ from pyspark.sql import functions as F
 from docgrid.llm.common import SPACE, WORD, cut
 
 GRAM, WINDOW, LONG_WORDS = 2, 2, 50
-#: Words of a piece, pieces of a gram and grams of a window: LONG_WORDS words hold all but 2 (PIECE - 1) in whole
-#: pieces, which are PIECE_GRAM + PIECE_WINDOW - 1 at least. Pieces that a match can go beyond its grams.
-PIECE, PIECE_GRAM, PIECE_WINDOW, AROUND = 6, 4, 4, 4
-#: Last letters of the words after which a piece ends: about a third of all words in many languages.
-CUTS = ".,;:!?esаи"
+#: Their sum less one is LONG_WORDS.
+WORD_GRAM, WORD_WINDOW = 26, 25
 _BITS = 27
 #: A document in the input: hashes of id and text.
 _DOC = ("_key", "_th")
@@ -171,46 +167,35 @@ def repeated_runs(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
 # --- words -----------------------------------------------------------------------------------
 
 
-def _spaces(x: Column) -> Column:
-    return F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+def words_of(text: Column) -> Column:
+    """The words of a text; only rare white space needs a regular expression."""
+    odd = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\f")
+    spaced = F.replace(text, F.lit("\n"), F.lit(" "))
+    plain = F.when(spaced.contains("  ") | spaced.startswith(" ") | spaced.endswith(" ") | (spaced == ""), F.filter(F.split(spaced, " ", -1), lambda x: x != "")).otherwise(F.split(spaced, " ", -1))
+    return F.when(odd, F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).otherwise(plain)
 
 
-def pieces(text: Column) -> Column:
-    """A text as pieces of up to ``PIECE`` words between single spaces."""
-    odd = F.lit(False)
-    for mark in ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\f"):
-        odd = odd | text.contains(mark)
-    for mark in (" ", "\n"):
-        odd = odd | text.startswith(mark) | text.endswith(mark)
-    spaced = F.when(odd, F.btrim(F.regexp_replace(text, f"[{SPACE}]+", " "))).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
-    marked = spaced
-    for letter in CUTS:
-        marked = F.replace(marked, F.lit(f"{letter} "), F.lit(f"{letter}\n"))
-    many = lambda x: _spaces(x) >= PIECE
-    apart = lambda p: F.when(F.exists(p, many), F.flatten(F.transform(p, lambda x: F.when(many(x), F.split(x, " ")).otherwise(F.array(x))))).otherwise(p)
-    return F.when(F.rtrim(text) == "", F.array().cast("array<string>")).otherwise(_let(F.split(marked, "\n"), apart))
-
-
-def piece_marks(texts: DataFrame, gram: int = PIECE_GRAM, window: int = PIECE_WINDOW) -> DataFrame:
-    """(_o, _f): the places and hashes of the grams of pieces that are fingerprints, for documents (_o, _text)."""
+def word_marks(texts: DataFrame, gram: int = WORD_GRAM, window: int = WORD_WINDOW) -> DataFrame:
+    """(_o, _f): the places and hashes of the grams of words that are fingerprints, for documents (_o, _text)."""
     low = (1 << _BITS) - 1
 
-    def over(values: Column, n: int, of: Callable[[Column, Column], Column], width: int = 1) -> Column:
-        """``of`` all runs of ``n`` values, by doubling; ``n`` is a power of two."""
-        if width >= n:
+    def least(values: Column, width: int = 1) -> Column:
+        """The least of each window, by doubling."""
+        if width == window:
             return values
-        pairs = lambda v: F.zip_with(F.slice(v, 1, F.greatest(F.lit(0), F.size(v) - width)), F.slice(v, width + 1, F.size(v)), of)
-        return over(_let(values, pairs), n, of, 2 * width)
+        step = min(width, window - width)
+        pairs = lambda v: F.zip_with(F.slice(v, 1, F.greatest(F.lit(0), F.size(v) - step)), F.slice(v, step + 1, F.size(v)), lambda a, b: F.least(a, b))
+        return least(_let(values, pairs), width + step)
 
-    def marks(g: Column) -> Column:
-        # a gram's hash above its place: the least of a window tells where it stands, the first of equals
-        placed = F.transform(g, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i))
-        least = F.array_distinct(over(placed, window, lambda a, b: F.least(a, b)))
-        return F.transform(least, lambda v: F.struct(v.bitwiseAND(F.lit(low)).cast("int").alias("pos"), F.get(g, v.bitwiseAND(F.lit(low)).cast("int")).alias("hash")))
+    def marks(words: Column) -> Column:
+        # a word's hash above its place: the least of a window tells where it stands, the first of equals
+        starts = F.slice(words, 1, F.greatest(F.lit(0), F.size(words) - gram + 1))
+        placed = F.transform(starts, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(~low)).bitwiseOR(i))
+        at = F.transform(F.array_distinct(least(placed)), lambda v: v.bitwiseAND(F.lit(low)).cast("int"))
+        return F.transform(at, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.slice(words, p + 1, F.lit(gram))).alias("hash")))
 
-    texts = texts.filter(F.octet_length("_text") >= 2 * LONG_WORDS - 1)
-    grams = over(F.transform(pieces(F.col("_text")), lambda x: F.xxhash64(x)), gram, lambda a, b: F.xxhash64(a, b))
-    return texts.select("_o", _let(grams, marks).alias("_f"))
+    texts = texts.filter(F.octet_length("_text") >= 2 * (gram + window) - 3)
+    return texts.select("_o", _let(words_of(F.col("_text")), marks).alias("_f"))
 
 
 def _equal(a: Column, b: Column) -> Column:
@@ -223,9 +208,10 @@ def _equal(a: Column, b: Column) -> Column:
     return _let(F.least(F.size(a), F.size(b)), same)
 
 
-def repeated_spans(docs: DataFrame, *, gram: int = PIECE_GRAM, window: int = PIECE_WINDOW, least: int = LONG_WORDS) -> DataFrame:
-    """(_o, runs) for documents (_o, _text): the runs (first, last) of ``least`` words or more to cut, by 0-based words."""
-    marks = cut(piece_marks(docs, gram, window)).select("_o", F.explode("_f").alias("_f")).select(F.col("_f.hash").alias("_k"), F.shiftleft("_o", _BITS).bitwiseOR(F.col("_f.pos").cast("long")).alias("_at"))
+def repeated_spans(docs: DataFrame, *, gram: int = WORD_GRAM, window: int = WORD_WINDOW) -> DataFrame:
+    """(_o, runs) for documents (_o, _text): the runs (first, last) of gram + window - 1 words or more to cut, by 0-based words."""
+    around, least = window - 1, gram + window - 1
+    marks = cut(word_marks(docs, gram, window)).select("_o", F.explode("_f").alias("_f")).select(F.col("_f.hash").alias("_k"), F.shiftleft("_o", _BITS).bitwiseOR(F.col("_f.pos").cast("long")).alias("_at"))
     pairs = _earlier(marks, F.lit(gram)).groupBy("_at").agg(F.min("_s").alias("_s"))
     pairs = pairs.select(_doc(F.col("_at")).alias("_o"), _pos(F.col("_at")).alias("pos"), "_s")
     # grams that touch are one match, whichever places they stand at first; its ends go by their own grams
@@ -239,21 +225,17 @@ def repeated_spans(docs: DataFrame, *, gram: int = PIECE_GRAM, window: int = PIE
     run = F.shiftleft("_o", _BITS).bitwiseOR(F.col("_at").cast("long"))
     ask = lambda kind, of, lo, hi: F.struct(F.lit(kind).alias("kind"), of.alias("_w"), lo.alias("lo"), hi.alias("hi"))
     asks = F.array(ask(0, F.col("_o"), F.col("_at"), F.col("_to")), ask(1, _doc(F.col("_s")), _pos(F.col("_s")), _pos(F.col("_s"))), ask(2, _doc(F.col("_e")), _pos(F.col("_e")), _pos(F.col("_e"))))
-    asks = cut(runs.select(run.alias("_run"), F.explode(asks).alias("_q")).select("_run", "_q.*"))
+    asks = cut(runs.select(run.alias("_run"), "_to", F.explode(asks).alias("_q")).select("_run", "_to", "_q.*"))
     ends = cut(asks.select("_w").distinct())
-    own = docs.join(ends, F.col("_o") == F.col("_w"), "left_semi").select("_o", pieces(F.col("_text")).alias("_p"))
-    words = lambda some: F.split(F.array_join(some, " "), " ")
+    own = docs.join(ends, F.col("_o") == F.col("_w"), "left_semi").select("_o", words_of(F.col("_text")).alias("_p"))
     none = F.array().cast("array<string>")
-    lo, hi = F.col("lo"), F.col("hi")
-    start, after = F.greatest(F.lit(0), lo - AROUND), F.slice("_p", hi + gram + 1, F.lit(AROUND))
-    count = lambda some: F.aggregate(some, F.lit(0), lambda n, x: n + _spaces(x) + 1)
+    start = F.greatest(F.lit(0), F.col("lo") - around)
     told = own.join(asks, F.col("_o") == F.col("_w")).select(
-        "_run", "kind", F.when((lo > 0) & (F.col("kind") < 2), F.reverse(words(F.slice("_p", start + 1, lo - start)))).otherwise(none).alias("a"), F.when((F.size(after) > 0) & (F.col("kind") != 1), words(after)).otherwise(none).alias("b"),
-        F.when(F.col("kind") == 0, count(F.slice("_p", F.lit(1), lo))).alias("first"), F.when(F.col("kind") == 0, count(F.slice("_p", lo + 1, hi + gram - lo))).alias("n"),
+        "_run", "_to", "kind", F.when(F.col("kind") < 2, F.reverse(F.slice("_p", start + 1, F.col("lo") - start))).otherwise(none).alias("a"), F.when(F.col("kind") != 1, F.slice("_p", F.col("hi") + gram + 1, F.lit(around))).otherwise(none).alias("b"),
     )
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    told = told.groupBy("_run").agg(of(0, "a").alias("a"), of(0, "b").alias("b"), of(1, "a").alias("sa"), of(2, "b").alias("sb"), F.max("first").alias("first"), F.max("n").alias("n"))
-    found = told.select(_doc(F.col("_run")).alias("_o"), (F.col("first") - _equal(F.col("a"), F.col("sa"))).alias("first"), (F.col("first") + F.col("n") - 1 + _equal(F.col("b"), F.col("sb"))).alias("last"))
+    told = told.groupBy("_run", "_to").agg(of(0, "a").alias("a"), of(0, "b").alias("b"), of(1, "a").alias("sa"), of(2, "b").alias("sb"))
+    found = told.select(_doc(F.col("_run")).alias("_o"), (_pos(F.col("_run")) - _equal(F.col("a"), F.col("sa"))).alias("first"), (F.col("_to") + gram - 1 + _equal(F.col("b"), F.col("sb"))).alias("last"))
     return cut(_by_document(_merged(found.filter(F.col("last") - F.col("first") + 1 >= least))))
 
 
@@ -292,7 +274,7 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     text = F.when(whole, "").when(F.col("_runs").isNull(), F.col("_text")).otherwise(F.array_join(_between(F.split("_text", "\n", -1), F.col("_runs")), "\n"))
     out = cut(out.select("_id", "_o", "_copy", "_rest", text.alias("_text"), n.cast("long").alias("_n"), gone.alias("_gone"), "_runs"))
 
-    spans = repeated_spans(out.filter("not _copy").select("_o", "_text"), least=long_words).withColumnRenamed("runs", "_spans")
+    spans = repeated_spans(out.filter("not _copy").select("_o", "_text")).withColumnRenamed("runs", "_spans")
     out = out.join(spans, "_o", "left")
     # each word with the white space before it
     words = F.regexp_extract_all("_text", F.lit(f"[{SPACE}]*+{WORD}+|[{SPACE}]++$"), F.lit(0))
