@@ -74,7 +74,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     Range partitions are counted, and only the counts meet in one place.
     """
     order = [F.col("_id").asc_nulls_first(), F.col("_th").asc()]
-    own = cut(docs.groupBy("_id", *_DOC).agg(F.lit(1)).select("_id", *_DOC))
+    own = cut(docs.select("_id", *_DOC).distinct())
     own = cut(own.repartitionByRange(*order).sortWithinPartitions(*order).select(*_DOC, F.monotonically_increasing_id().alias("_m")))
     part = F.shiftright("_m", 33)
     parts = own.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
