@@ -5,6 +5,8 @@ A null text gives null, or false where the result is boolean and says so.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ INDEX_LINE = rf"^(.+?)(?:\.{{2,}}|\s+)({PAGE_REF})$"
 TERMINAL_REF = rf"(?:\.{{2,}}|\s+){PAGE_REF}\s*$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))

@@ -33,33 +33,50 @@ def _strip(text: Column) -> Column:
 
 def technical_type(value: Column) -> Column:
     """The canonical technical type, null if it is none."""
-    folded = T.fold(T.squeeze(value))
-    known = F.when(folded.contains("elettric") | folded.contains("wiring"), TYPES[0])
-    for name in TYPES:
-        known = known.when(folded == name.lower(), name)
-    return known
+
+    def known(folded: Column) -> Column:
+        out = F.when(folded.contains("elettric") | folded.contains("wiring"), TYPES[0])
+        for name in TYPES:
+            out = out.when(folded == name.lower(), name)
+        return out
+
+    return T.let(T.fold(T.squeeze(value)), known)
 
 
 def canonical_caption(caption: Column, prompt: Column | None = None) -> Column:
     """The caption with its type and spacing made canonical; null where it breaks the contract."""
-    f, prompt = fields(caption), F.lit(CURRENT) if prompt is None else prompt
+    prompt = F.lit(CURRENT) if prompt is None else prompt
     short = (prompt == CURRENT) | (F.char_length(_strip(caption)) <= MOST)
-    labels = F.transform(f, lambda x: F.coalesce(x["label"], F.lit("")))
-    good = prompt.isin(*PROMPTS) & short & (labels == F.array(*map(F.lit, LABELS))) & ~F.exists(f, lambda x: x["value"] == "")
-    kind = technical_type(F.get(f, F.lit(0))["value"])
-    lines = F.transform(f, lambda x, i: F.concat(x["label"], F.lit(": "), F.when(i == 0, kind).otherwise(x["value"])))
-    return F.when(good & kind.isNotNull(), F.array_join(lines, "\n"))
+
+    def of_fields(f: Column) -> Column:
+        labels = F.transform(f, lambda x: F.coalesce(x["label"], F.lit("")))
+        good = (labels == F.array(*map(F.lit, LABELS))) & ~F.exists(f, lambda x: x["value"] == "")
+        return F.when(good, T.let(technical_type(F.get(f, F.lit(0))["value"]), lambda kind: of_kind(f, kind)))
+
+    def of_kind(f: Column, kind: Column) -> Column:
+        lines = F.transform(f, lambda x, i: F.concat(x["label"], F.lit(": "), F.when(i == 0, kind).otherwise(x["value"])))
+        return F.when(kind.isNotNull(), F.array_join(lines, "\n"))
+
+    return F.when(caption.isNotNull() & prompt.isin(*PROMPTS) & short, T.let(fields(caption), of_fields))
 
 
 def review_reason(caption: Column, prompt: Column | None = None) -> Column:
     """Why a canonical caption needs a review, or null."""
-    f, prompt = fields(caption), F.lit(CURRENT) if prompt is None else prompt
-    kind = technical_type(F.get(f, F.lit(0))["value"])
-    said = lambda keep: T.fold(F.array_join(F.transform(F.filter(f, keep), lambda x: x["value"]), " "))
-    seen = said(lambda x: x["label"].isin(LABELS[1], LABELS[2], LABELS[3]))
-    wired = F.lit(False)
-    for name, pattern in WIRING.items():
-        wired = wired | ((prompt == name) & seen.rlike(pattern))
-    sure = said(lambda x: x["label"] == LABELS[6]).rlike(NONE) & said(lambda x: x["label"] != LABELS[6]).rlike(UNREADABLE)
-    electrical = (kind == TYPES[0]) | ((kind == TYPES[1]) & wired)
-    return F.when(electrical, ELECTRICAL).when((prompt != PROMPTS[0]) & sure, UNCERTAIN)
+    prompt = F.lit(CURRENT) if prompt is None else prompt
+
+    def of_fields(f: Column) -> Column:
+        said = lambda keep: T.fold(F.array_join(F.transform(F.filter(f, keep), lambda x: x["value"]), " "))
+
+        def wired(seen: Column) -> Column:
+            out = F.lit(False)
+            for name, pattern in WIRING.items():
+                out = out | ((prompt == name) & seen.rlike(pattern))
+            return out
+
+        seen = said(lambda x: x["label"].isin(LABELS[1], LABELS[2], LABELS[3]))
+        sure = said(lambda x: x["label"] == LABELS[6]).rlike(NONE) & said(lambda x: x["label"] != LABELS[6]).rlike(UNREADABLE)
+        electrical = lambda kind: (kind == TYPES[0]) | ((kind == TYPES[1]) & T.let(seen, wired))
+        kind = technical_type(F.get(f, F.lit(0))["value"])
+        return F.when(T.let(kind, electrical), ELECTRICAL).when((prompt != PROMPTS[0]) & sure, UNCERTAIN)
+
+    return F.when(caption.isNotNull(), T.let(fields(caption), of_fields))

@@ -8,6 +8,8 @@ provider has no provenance. ``items`` are (doc_id, element_id, status, reason) o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,13 +35,10 @@ def has_provenance() -> Column:
     return F.col("provider").isNotNull()
 
 
-def canonical() -> Column:
-    return captions.canonical_caption(F.col("caption"), F.coalesce("prompt_version", F.lit(captions.CURRENT)))
-
-
-def review() -> Column:
-    """Why an element's caption needs a review; null for an invalid one."""
-    return captions.review_reason(canonical(), F.coalesce("prompt_version", F.lit(captions.CURRENT)))
+def reviewed(use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of an element's canonical caption and of why it needs a review, null for an invalid one; each is computed once."""
+    prompt = F.coalesce("prompt_version", F.lit(captions.CURRENT))
+    return T.let(captions.canonical_caption(F.col("caption"), prompt), lambda c: T.let(captions.review_reason(c, prompt), lambda due: use(c, due)))
 
 
 def id_differences(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -56,18 +55,22 @@ def _joined(elements: DataFrame, items: DataFrame, runs: DataFrame) -> DataFrame
 
 def item_errors(elements: DataFrame, items: DataFrame, runs: DataFrame) -> DataFrame:
     """Items of enrichment whose status is not that of the element as it stands."""
-    e = _joined(elements, items, runs).withColumns({"_review": review(), "_invalid": F.col("caption").isNotNull() & canonical().isNull()})
+    e = _joined(elements, items, runs)
     status, reason, has = F.col("_status"), F.col("_reason"), F.coalesce(F.col("caption") != "", F.lit(False))
     rag, why = F.col("include_in_rag"), F.col("exclusion_reason")
-    enriched = F.col("provider_configured") & has & has_provenance() & F.col("_review").isNull() & rag & (reason == VALIDATED)
-    reviewed = F.col("provider_configured") & has & has_provenance() & F.col("_review").isNotNull() & ~rag & (why == F.col("_review")) & (reason == F.col("_review"))
-    excluded = ~rag & (why != "") & (reason == why) & F.col("_review").isNull()
-    there = has & has_provenance() & rag & F.col("_review").isNull() & (reason == PRESENT)
     table = (F.col("type") == "table") & rag & ~has & ~has_provenance() & (reason == STRUCTURED)
     failed = F.col("provider_configured") & (F.col("type") == "image") & ~has & ~has_provenance() & ~rag & (why == UNAVAILABLE) & (T.squeeze(reason) != "")
-    good = F.when(status == "enriched", _is(enriched)).when(status == "review_required", _is(reviewed)).when(status == "skipped", _is(excluded) | _is(there) | _is(table)).otherwise(_is(failed))
-    error = F.when(F.col("_invalid"), "invalid_caption").when(~good, "status")
-    return e.select("doc_id", F.col("element_id").alias("id"), error.alias("error")).filter("error is not null")
+
+    def error(canonical: Column, due: Column) -> Column:
+        enriched = F.col("provider_configured") & has & has_provenance() & due.isNull() & rag & (reason == VALIDATED)
+        waiting = F.col("provider_configured") & has & has_provenance() & due.isNotNull() & ~rag & (why == due) & (reason == due)
+        excluded = ~rag & (why != "") & (reason == why) & due.isNull()
+        there = has & has_provenance() & rag & due.isNull() & (reason == PRESENT)
+        good = F.when(status == "enriched", _is(enriched)).when(status == "review_required", _is(waiting)).when(status == "skipped", _is(excluded) | _is(there) | _is(table)).otherwise(_is(failed))
+        return F.when(F.col("caption").isNotNull() & canonical.isNull(), "invalid_caption").when(~good, "status")
+
+    # exploded, as a filter on the error would compute it once more
+    return e.select("doc_id", F.col("element_id").alias("id"), F.explode(F.array_compact(F.array(reviewed(error)))).alias("error"))
 
 
 def transition_errors(elements: DataFrame, items: DataFrame, crops: DataFrame, runs: DataFrame) -> DataFrame:
@@ -97,7 +100,7 @@ def exclusion_errors(elements: DataFrame, items: DataFrame, crops: DataFrame, ru
     causes = (
         (why == SMALL) & kind.isin("image", "table") & (F.col("_crop") == "excluded"),
         (why == NO_PROVIDER) & (kind == "image") & ~F.col("provider_configured") & (F.col("_status") == "skipped") & (F.col("_reason") == why),
-        (review() == why) & (F.col("_status") == "review_required"),
+        (F.col("_status") == "review_required") & (reviewed(lambda _, due: due) == why),
         (why == UNAVAILABLE) & (kind == "image") & F.col("provider_configured") & (F.col("_status") == "failed"),
         (why == INDEX_PAGE) & (F.col("profile") == "scanned_ocr") & F.array_contains("index_pages", F.col("page")),
     )
@@ -111,13 +114,15 @@ def caption_errors(elements: DataFrame) -> DataFrame:
     """Captions without provenance and the reverse, on other elements than images and tables, invalid, not canonical, or in retrieval though a review is due."""
     has, blank = F.coalesce(F.col("caption") != "", F.lit(False)), F.coalesce(T.squeeze(F.col("caption")) == "", F.lit(True))
     visual, rag = F.col("type").isin("image", "table"), F.col("include_in_rag")
-    e = elements.withColumns({"_canonical": canonical(), "_review": review()})
-    rules = {
-        "empty": F.col("caption").isNotNull() & blank, "not_visual": has & ~visual, "no_provenance": ~blank & ~has_provenance(), "no_caption": has_provenance() & blank, "image_without": (F.col("type") == "image") & rag & ~has,
-        "invalid": has & F.col("_canonical").isNull(), "not_canonical": F.col("_canonical").isNotNull() & (T.squeeze_ends(F.col("caption")) != F.col("_canonical")), "review": F.col("_review").isNotNull() & (rag | ~F.col("exclusion_reason").eqNullSafe(F.col("_review"))),
-    }
-    found = F.filter(F.array(*(F.when(_is(rule), F.lit(name)) for name, rule in rules.items())), lambda x: x.isNotNull())
-    return e.select("doc_id", F.col("element_id").alias("id"), F.explode(found).alias("error"))
+
+    def found(canonical: Column, due: Column) -> Column:
+        rules = {
+            "empty": F.col("caption").isNotNull() & blank, "not_visual": has & ~visual, "no_provenance": ~blank & ~has_provenance(), "no_caption": has_provenance() & blank, "image_without": (F.col("type") == "image") & rag & ~has,
+            "invalid": has & canonical.isNull(), "not_canonical": canonical.isNotNull() & (T.squeeze_ends(F.col("caption")) != canonical), "review": due.isNotNull() & (rag | ~F.col("exclusion_reason").eqNullSafe(due)),
+        }
+        return F.array_compact(F.array(*(F.when(_is(rule), F.lit(name)) for name, rule in rules.items())))
+
+    return elements.select("doc_id", F.col("element_id").alias("id"), F.explode(reviewed(found)).alias("error"))
 
 
 def release_version(version: Column) -> Column:

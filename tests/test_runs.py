@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from docgrid.operators import assembly, blocks, detect, outline, runs
+from docgrid import registry
+from docgrid.operators import assembly, blocks, captions, detect, outline, review, runs
 from docgrid.sources import ocr, pdf
 
 
@@ -119,3 +121,23 @@ def test_quarantine_is_added_to(spark, tmp_path):
         runs.write_failures(rows, str(tmp_path / "q"))
     back = spark.read.parquet(str(tmp_path / "q")).collect()
     assert len(back) == 2 and len(back[0].error_message) == 4000 and back[0].report_name == "r.failure-20240101T000001500000Z"
+
+
+@pytest.mark.parametrize("name", ["enrichment_items", "caption_consistency", "trace_exclusions", "report_checks"])
+def test_captions_are_read_once(spark, name):
+    """A caption is cut into lines once for its canonical form and once for its review, however many rules name them."""
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == (6 if name == "report_checks" else 2)
+
+
+def test_reviews_of_captions(spark):
+    def caption(kind, seen="b", doubts="f"):
+        return "\r\n".join(f" {label} :  {value} " for label, value in zip(captions.LABELS, (kind, "a", seen, "c", "d", "e", doubts), strict=True))
+
+    given = [caption("Schema  ELETTRICO x"), caption("schema/diagramma", "un cablaggio"), caption("sicurezza", "non leggibile", "Nessuna"), caption("sicurezza"), caption("poesia"), "no caption", "", None]
+    due = [captions.ELECTRICAL, captions.ELECTRICAL, captions.UNCERTAIN, None, None, None, None, None]
+    rows = spark.createDataFrame([(i, c, None) for i, c in enumerate(given)], "i int, caption string, prompt_version string")
+    got = rows.select("i", review.reviewed(lambda c, why: F.struct(c.alias("c"), why.alias("why"))).alias("r")).orderBy("i").collect()
+    assert [x.r.why for x in got] == due
+    assert [x.r.c is not None for x in got] == [True] * 4 + [False] * 4
+    assert got[0].r.c.split("\n")[0] == "Tipo tecnico: schema elettrico" and got[3].r.c.split("\n")[2] == "Elementi visibili: b"
