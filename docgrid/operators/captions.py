@@ -24,7 +24,7 @@ def fields(caption: Column) -> Column:
     """(label, value) of each line that is not empty; value is null without a colon."""
     lines = F.filter(F.transform(F.split(caption, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85]"), _strip), lambda t: t != "")
     at = lambda t: F.instr(t, ":")
-    return F.transform(lines, lambda t: F.struct(F.when(at(t) > 0, _strip(F.substring_index(t, ":", 1))).alias("label"), F.when(at(t) > 0, _strip(F.regexp_replace(t, r"(?s)^[^:]*:", ""))).alias("value")))
+    return F.transform(lines, lambda t: F.struct(F.when(at(t) > 0, _strip(F.substring_index(t, ":", 1))).alias("label"), F.when(at(t) > 0, _strip(F.substr(t, at(t) + 1))).alias("value")))
 
 
 def _strip(text: Column) -> Column:
