@@ -42,6 +42,24 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` as ``cut`` gives it, in buckets by ``keys``, as many as shuffles have partitions.
+
+    A join by all of the keys moves the other side only. Rows should come dealt by the keys, else each task writes to each bucket.
+    """
+    spark = df.sparkSession
+    name = f"docgrid_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(shuffles(spark), *keys).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # read before the name goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def shuffles(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def row_key(c: str | Column) -> Column:
     """A text of a key that is never null, by which hashes are taken."""
     col = F.col(c) if isinstance(c, str) else c

@@ -24,7 +24,7 @@ longer match stay at that end.
 All of it is rows of bounded size: documents are numbered in their order, so that a place is one number; a
 fingerprint's copies all point to one place, a match holds 24 words about each end, and intervals are merged
 by windows over a document's rows, so that work grows with the lines and words, also where they are all alike.
-Copies of a whole text are one text until the end. Numbers hold 2^36 documents of up to 2^27 lines and words.
+Texts are dealt out once, by key and text hash, and stand in buckets from then on. Copies of a whole text are one text until the end. Numbers hold 2^36 documents of up to 2^27 lines and words.
 
 Defined cases: null is a text without lines and stays null; lines are compared without white space at
 their ends; rows equal in id and text are one document and all get its result; a null id comes
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docgrid.llm.common import SPACE, WORD, cut
+from docgrid.llm.common import SPACE, WORD, cut, dealt, shuffles
 
 GRAM, WINDOW, LONG_WORDS = 2, 2, 50
 #: Their sum less one is LONG_WORDS.
@@ -209,7 +209,7 @@ def _equal(a: Column, b: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, *, gram: int = WORD_GRAM, window: int = WORD_WINDOW) -> DataFrame:
-    """(_o, runs) for documents (_o, _text): the runs (first, last) of gram + window - 1 words or more to cut, by 0-based words."""
+    """(_o, runs) for documents (_key, _th, _o, _text), dealt by key and text hash: the runs (first, last) of gram + window - 1 words or more to cut, by 0-based words."""
     around, least = window - 1, gram + window - 1
     marks = cut(word_marks(docs, gram, window)).select("_o", F.explode("_f").alias("_f")).select(F.col("_f.hash").alias("_k"), F.shiftleft("_o", _BITS).bitwiseOR(F.col("_f.pos").cast("long")).alias("_at"))
     pairs = _earlier(marks, F.lit(gram)).groupBy("_at").agg(F.min("_s").alias("_s"))
@@ -226,8 +226,8 @@ def repeated_spans(docs: DataFrame, *, gram: int = WORD_GRAM, window: int = WORD
     ask = lambda kind, of, lo, hi: F.struct(F.lit(kind).alias("kind"), of.alias("_w"), lo.alias("lo"), hi.alias("hi"))
     asks = F.array(ask(0, F.col("_o"), F.col("_at"), F.col("_to")), ask(1, _doc(F.col("_s")), _pos(F.col("_s")), _pos(F.col("_s"))), ask(2, _doc(F.col("_e")), _pos(F.col("_e")), _pos(F.col("_e"))))
     asks = cut(runs.select(run.alias("_run"), "_to", F.explode(asks).alias("_q")).select("_run", "_to", "_q.*"))
-    ends = cut(asks.select("_w").distinct())
-    own = docs.join(ends, F.col("_o") == F.col("_w"), "left_semi").select("_o", words_of(F.col("_text")).alias("_p"))
+    ends = docs.select(*_DOC, "_o").join(asks.select("_w").distinct(), F.col("_o") == F.col("_w"), "left_semi").select(*_DOC)
+    own = docs.join(cut(ends).hint("shuffle_hash"), list(_DOC), "left_semi").select("_o", words_of(F.col("_text")).alias("_p"))
     none = F.array().cast("array<string>")
     start = F.greatest(F.lit(0), F.col("lo") - around)
     told = own.join(asks, F.col("_o") == F.col("_w")).select(
@@ -265,17 +265,18 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     numbers = numbered(base.filter(F.col("_text").isNotNull()).select("_id", *_DOC))
     firsts = line_hashes(base).join(numbers.filter("not _copy"), list(_DOC)).groupBy("_o").agg(F.first("_h").alias("_h"), F.first("_n").alias("_n"))
     runs = repeated_runs(cut(firsts), long_words).withColumnRenamed("runs", "_runs")
-    out = base.join(numbers.join(runs, "_o", "left"), list(_DOC), "left")
+    # texts are dealt out once, here; what is found later comes to them
+    out = base.repartition(shuffles(df.sparkSession), *_DOC).join(numbers.join(runs, "_o", "left"), list(_DOC), "left")
     n = F.coalesce(F.regexp_count("_text", F.lit("\n")) + 1, F.lit(0)).cast("int")
     # a copy of a text is a run as a whole
     whole = F.col("_copy") & ((n > GRAM + WINDOW - 2) | (F.regexp_count("_text", F.lit(WORD)) >= long_words))
     out = out.withColumn("_runs", F.when(whole, F.array(F.struct(F.lit(0).alias("first"), (n - 1).alias("last")))).otherwise(F.col("_runs")))
     gone = F.coalesce(F.aggregate("_runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1), F.lit(0)).cast("long")
     text = F.when(whole, "").when(F.col("_runs").isNull(), F.col("_text")).otherwise(F.array_join(_between(F.split("_text", "\n", -1), F.col("_runs")), "\n"))
-    out = cut(out.select("_id", "_o", "_copy", "_rest", text.alias("_text"), n.cast("long").alias("_n"), gone.alias("_gone"), "_runs"))
+    out = dealt(out.select(*_DOC, "_id", "_o", "_copy", "_rest", text.alias("_text"), n.cast("long").alias("_n"), gone.alias("_gone"), "_runs"), *_DOC)
 
-    spans = repeated_spans(out.filter("not _copy").select("_o", "_text")).withColumnRenamed("runs", "_spans")
-    out = out.join(spans, "_o", "left")
+    spans = repeated_spans(out.filter("not _copy").select(*_DOC, "_o", "_text")).join(numbers.drop("_copy"), "_o").select(*_DOC, F.col("runs").alias("_spans"))
+    out = out.join(spans.hint("shuffle_hash"), list(_DOC), "left")
     # each word with the white space before it
     words = F.regexp_extract_all("_text", F.lit(f"[{SPACE}]*+{WORD}+|[{SPACE}]++$"), F.lit(0))
     text = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.array_join(_between(words, F.col("_spans")), ""))

@@ -391,3 +391,13 @@ def test_written_shards(spark, docs, tmp_path):
     told = {(r["doc_id"], r["shard"]) for r in sharding.assign_shards(docs, 4).collect()}
     assert back.count() == len(ROWS) and {(r["doc_id"], r["shard"]) for r in back.collect()} == told
     assert "size" in back.columns
+
+
+def test_texts_of_lines_are_dealt_once(spark):
+    """What is found of a text comes to its bucket: no exchange of the last plan moves texts."""
+    df = spark.createDataFrame([(i, f"one {i}\ntwo\nthree\nfour", i) for i in range(20)], "doc_id long, text string, other int")
+    out = line_dedup.dedup_lines(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    scan = [line for line in plan.split("\n") if "Bucketed: true" in line]
+    assert len(scan) == 1 and "_text" in scan[0] and not any("Exchange" in line and scan[0].index("FileScan") - line.index("Exchange") in (2, 3) for line in plan.split("\n") if "Exchange" in line)
+    assert sorted((r.doc_id, r.other, r.text) for r in out.collect())[1] == (1, 1, "one 1")
