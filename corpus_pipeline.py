@@ -11,7 +11,7 @@ from docgrid.llm.common import shared_dir, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null, letterless and undecided ones go."""
+    """Documents with their language and its score; null and letterless ones go."""
     return langid.keep_identified(docs, langid.learn(docs))
 
 

@@ -230,17 +230,21 @@ def identify(df: DataFrame, model: Model | None, *, id_col: str = "doc_id", text
     return out.select(F.col("id").cast(kind).alias(id_col), "held_out", "lang_pred", "score")
 
 
-def keep_identified(df: DataFrame, model: Model | None, *, text_col: str = "text", least: float = 0.2) -> DataFrame:
-    """The rows of ``df`` whose language is decided with a score of ``least`` or more, all columns."""
+def keep_identified(df: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that have a letter, all columns and lang_pred and score, which replace columns of these names.
+
+    No score is too low to stay: what a low one means is for those who read it.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("lang_pred string, score double")
+    def told(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for s in texts:
-            out, values = np.zeros(len(s)), s.to_numpy()
-            for a in range(0, len(s), _ROWS):
-                out[a : a + _ROWS] = 0.0 if model is None else model.predict(features([t.encode() if isinstance(t, str) else b"" for t in values[a : a + _ROWS]]))[1]
-            yield pd.Series(out)
+            names, score, values = np.full(len(s), UNDECIDED, object), np.zeros(len(s)), s.to_numpy()
+            for a in range(0, len(s) if model is not None else 0, _ROWS):
+                names[a : a + _ROWS], score[a : a + _ROWS] = model.predict(features([t.encode() if isinstance(t, str) else b"" for t in values[a : a + _ROWS]]))
+            yield pd.DataFrame({"lang_pred": names, "score": np.clip(score, 0, 1)})
 
-    return df.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).filter(score(letters(F.col(text_col))) >= least)
+    rows = df.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).withColumn("_told", told(letters(F.col(text_col))))
+    return rows.withColumns({c: F.col("_told")[c] for c in ("lang_pred", "score")}).drop("_told")

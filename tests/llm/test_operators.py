@@ -401,3 +401,16 @@ def test_texts_of_lines_are_dealt_once(spark):
     scan = [line for line in plan.split("\n") if "Bucketed: true" in line]
     assert len(scan) == 1 and "_text" in scan[0] and not any("Exchange" in line and scan[0].index("FileScan") - line.index("Exchange") in (2, 3) for line in plan.split("\n") if "Exchange" in line)
     assert sorted((r.doc_id, r.other, r.text) for r in out.collect())[1] == (1, 1, "one 1")
+
+
+@pytest.mark.parametrize("langs", [(None,), ("en", "fr")])
+def test_language_stage_drops_no_text_with_letters(spark, langs):
+    """Also where nothing is labelled, or the score is low, a text with a letter goes on, with its language."""
+    texts = ["the cat and the dog are here", "le chat et le chien sont ici", "x", "zz qq", "7 !", None]
+    docs = spark.createDataFrame([(i, t, langs[i % len(langs)]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    got = {r.doc_id: r for r in langid.keep_identified(docs, model).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    want = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
+    assert all((got[i].lang_pred, got[i].score) == want[i] for i in got)
+    assert langs != (None,) or {r.lang_pred for r in got.values()} == {"und"}
