@@ -45,6 +45,9 @@ from docgrid.llm.common import SPACE, WORD, cut, dealt, shuffles
 GRAM, WINDOW, LONG_WORDS = 2, 2, 50
 #: Their sum less one is LONG_WORDS.
 WORD_GRAM, WORD_WINDOW = 26, 25
+#: The share of words that are told first as candidates of a window's least, and how often they are thinned at most.
+#: Neither decides what is found: more rounds only leave fewer fingerprints.
+OFTEN, ROUNDS = 1 / 7, 4
 _BITS = 27
 #: A document in the input: hashes of id and text.
 _DOC = ("_key", "_th")
@@ -54,14 +57,6 @@ def _key(id_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.lit("document"))
 
 
-def _ahead(a: Column, n: int) -> Column:
-    return F.slice(a, n + 1, F.size(a))
-
-
-def _back(a: Column, kind: str) -> Column:
-    return F.concat(F.array(F.lit(None).cast(kind)), a)
-
-
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once, however often it is named."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -121,25 +116,32 @@ def _by_document(runs: DataFrame) -> DataFrame:
 def line_hashes(docs: DataFrame) -> DataFrame:
     """(_key, _th, _h, _n): the hashes and word counts of each document's lines."""
 
+    text = F.col("_text")
+    rare = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\f")
+    # no line has more than single spaces between words
+    plain = ~(rare | text.contains("  ") | text.contains(" \n") | text.contains("\n ") | text.startswith(" ") | text.endswith(" "))
+    spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+
     def line(x: Column) -> Column:
         # single spaces between words are counted as bytes, all else by a regular expression
-        odd = (x == "") | x.startswith(" ") | x.endswith(" ") | x.contains("  ") | x.contains("\t") | x.contains("\r") | x.contains("\x0b") | x.contains("\f")
-        n = F.when(odd, F.regexp_count(x, F.lit(WORD))).otherwise(F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
-        return F.struct(F.xxhash64(F.btrim(x, F.lit(" \t\x0b\f\r"))).alias("h"), n.alias("n"))
+        odd = F.col("_rare") | x.startswith(" ") | x.endswith(" ") | x.contains("  ")
+        n = F.when(x == "", 0).when(F.col("_plain") | ~odd, spaces(x) + 1).otherwise(F.regexp_count(x, F.lit(WORD)))
+        h = F.when(F.col("_plain"), F.xxhash64(x)).otherwise(F.xxhash64(F.btrim(x, F.lit(" \t\x0b\f\r"))))
+        return F.struct(h.alias("h"), n.alias("n"))
 
-    docs = docs.filter(F.col("_text").isNotNull()).select(*_DOC, F.transform(F.split("_text", "\n", -1), line).alias("_l"))
+    docs = docs.filter(text.isNotNull()).select(*_DOC, "_text", plain.alias("_plain"), rare.alias("_rare")).select(*_DOC, F.transform(F.split("_text", "\n", -1), line).alias("_l"))
     return docs.select(*_DOC, F.col("_l.h").alias("_h"), F.col("_l.n").alias("_n"))
 
 
 def line_marks(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     """(_o, pos, size, hash, long, before, after): the fingerprints of documents (_o, _h, _n), and the hashes of the lines about them."""
     h, n = F.col("_h"), F.col("_n")
-    gram = F.zip_with(h, _ahead(h, 1), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    rows = _let(gram, lambda g: F.arrays_zip(
-        h.alias("h"), n.alias("n"), g.alias("g"), _back(h, "bigint").alias("h0"), _ahead(h, 1).alias("h1"), _ahead(h, 2).alias("h2"),
-        _ahead(n, 1).alias("n1"), _back(g, "bigint").alias("g0"), _ahead(g, 1).alias("g1"),
-    ))
-    rows = docs.select("_o", F.posexplode(rows).alias("pos", "_r")).select("_o", "pos", "_r.*").filter(F.col("h").isNotNull())
+    gram = F.transform(h, lambda x, i: F.when(F.get(h, i + 1).isNotNull(), F.xxhash64(x, F.get(h, i + 1))))
+    rows = _let(gram, lambda g: F.transform(h, lambda x, i: F.struct(
+        x.alias("h"), F.get(n, i).alias("n"), F.get(g, i).alias("g"), F.get(h, i - 1).alias("h0"), F.get(h, i + 1).alias("h1"), F.get(h, i + 2).alias("h2"),
+        F.get(n, i + 1).alias("n1"), F.get(g, i - 1).alias("g0"), F.get(g, i + 1).alias("g1"),
+    )))
+    rows = docs.select("_o", F.posexplode(rows).alias("pos", "_r")).select("_o", "pos", "_r.*")
     long, longs = F.col("n") >= long_words, F.col("n") + F.coalesce("n1", F.lit(0)) >= long_words
     # the least of a window of two grams: the first of equals; a gram without neighbours is its own window
     least = (F.col("g") <= F.col("g1")) | (F.col("g") < F.col("g0")) | (F.col("g0").isNull() & F.col("g1").isNull())
@@ -170,14 +172,19 @@ def repeated_runs(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
 def words_of(text: Column) -> Column:
     """The words of a text; only rare white space needs a regular expression."""
     odd = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\f")
-    spaced = F.replace(text, F.lit("\n"), F.lit(" "))
-    plain = F.when(spaced.contains("  ") | spaced.startswith(" ") | spaced.endswith(" ") | (spaced == ""), F.filter(F.split(spaced, " ", -1), lambda x: x != "")).otherwise(F.split(spaced, " ", -1))
+    some = lambda s: F.filter(F.split(F.replace(s, F.lit("  "), F.lit(" ")), " ", -1), lambda x: x != "")
+    plain = _let(F.replace(text, F.lit("\n"), F.lit(" ")), lambda s: F.when(s.startswith(" ") | s.endswith(" ") | (s == "") | s.contains("  "), some(s)).otherwise(F.split(s, " ", -1)))
     return F.when(odd, F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).otherwise(plain)
 
 
-def word_marks(texts: DataFrame, gram: int = WORD_GRAM, window: int = WORD_WINDOW) -> DataFrame:
-    """(_o, _f): the places and hashes of the grams of words that are fingerprints, for documents (_o, _text)."""
-    low = (1 << _BITS) - 1
+def word_marks(texts: DataFrame, gram: int = WORD_GRAM, window: int = WORD_WINDOW, often: float = OFTEN) -> DataFrame:
+    """(_o, _f): the places and hashes of the grams of words that are fingerprints, for documents (_o, _text).
+
+    The words of low hash, a share of ``often``, are told first. Wherever a window has one, its least word is among
+    them; only windows without one, which lie in the gaps between them, are looked through word by word.
+    """
+    low, lowest = (1 << _BITS) - 1, -(1 << 63)
+    place = lambda v: v.bitwiseAND(F.lit(low))
 
     def least(values: Column, width: int = 1) -> Column:
         """The least of each window, by doubling."""
@@ -187,12 +194,36 @@ def word_marks(texts: DataFrame, gram: int = WORD_GRAM, window: int = WORD_WINDO
         pairs = lambda v: F.zip_with(F.slice(v, 1, F.greatest(F.lit(0), F.size(v) - step)), F.slice(v, step + 1, F.size(v)), lambda a, b: F.least(a, b))
         return least(_let(values, pairs), width + step)
 
+    def thinned(some: Column, rounds: int = ROUNDS) -> Column:
+        """``some`` without those that are greater than both neighbours, where these lie within one window's reach.
+
+        The least of a window is never one of them, and no gap of a window's length comes to be.
+        """
+        if not rounds:
+            return some
+
+        def thin(c: Column) -> Column:
+            high = lambda x, i: (x > F.get(c, i - 1)) & (x > F.get(c, i + 1)) & (place(F.get(c, i + 1)) - place(F.get(c, i - 1)) <= window)
+            # an edge lacks a neighbour and stays
+            return _let(F.filter(c, lambda x, i: F.coalesce(~high(x, i), F.lit(True))), lambda d: F.when(F.size(d) == F.size(c), d).otherwise(thinned(d, rounds - 1)))
+
+        return _let(some, thin)
+
+    def between(placed: Column, some: Column) -> Column:
+        """The least of each window in the gaps between ``some``."""
+        gap = lambda a, b: F.when(b - a > window, F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
+        gaps = F.filter(F.transform(some, lambda x, i: gap(place(x), place(F.get(some, i + 1)))), lambda g: g.isNotNull())
+        return F.flatten(F.transform(gaps, lambda g: F.transform(F.array_distinct(least(F.slice(placed, g["a"] + 1, g["b"] - g["a"] - 1))), lambda v: v + 1)))
+
     def marks(words: Column) -> Column:
         # a word's hash above its place: the least of a window tells where it stands, the first of equals
-        starts = F.slice(words, 1, F.greatest(F.lit(0), F.size(words) - gram + 1))
-        placed = F.transform(starts, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(~low)).bitwiseOR(i))
-        at = F.transform(F.array_distinct(least(placed)), lambda v: v.bitwiseAND(F.lit(low)).cast("int"))
-        return F.transform(at, lambda p: F.struct(p.alias("pos"), F.xxhash64(F.slice(words, p + 1, F.lit(gram))).alias("hash")))
+        placed = F.transform(words, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(~low)).bitwiseOR(i))
+        last = F.greatest(F.lit(0), F.size(words) - gram + 1)
+        seldom = lambda v: F.filter(v, lambda x: (x <= min(lowest + int(often * (1 << 64)), -lowest - 1)) & (place(x) < last))
+        # places from 1, and an edge before the first and after the last
+        edged = lambda v: F.concat(F.array(F.lit(lowest)), F.transform(seldom(v), lambda x: x + 1), F.array(F.lit(lowest).bitwiseOR(last + 1)))
+        told = _let(placed, lambda v: _let(thinned(edged(v)), lambda c: F.concat(F.filter(c, lambda x: x > lowest + low), between(v, c))))
+        return F.transform(told, lambda v: F.struct((place(v) - 1).cast("int").alias("pos"), F.xxhash64(F.slice(words, place(v).cast("int"), F.lit(gram))).alias("hash")))
 
     texts = texts.filter(F.octet_length("_text") >= 2 * (gram + window) - 3)
     return texts.select("_o", _let(words_of(F.col("_text")), marks).alias("_f"))
@@ -267,7 +298,7 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     runs = repeated_runs(cut(firsts), long_words).withColumnRenamed("runs", "_runs")
     # texts are dealt out once, here; what is found later comes to them
     out = base.repartition(shuffles(df.sparkSession), *_DOC).join(numbers.join(runs, "_o", "left"), list(_DOC), "left")
-    n = F.coalesce(F.regexp_count("_text", F.lit("\n")) + 1, F.lit(0)).cast("int")
+    n = F.coalesce(F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("int")
     # a copy of a text is a run as a whole
     whole = F.col("_copy") & ((n > GRAM + WINDOW - 2) | (F.regexp_count("_text", F.lit(WORD)) >= long_words))
     out = out.withColumn("_runs", F.when(whole, F.array(F.struct(F.lit(0).alias("first"), (n - 1).alias("last")))).otherwise(F.col("_runs")))

@@ -74,6 +74,27 @@ def test_repeated_lines(spark, seed):
     assert {(r["doc_id"], r["original"]): r["text"] for r in got} == want
 
 
+@pytest.mark.parametrize("often", [0.0, 1 / 7, 1.0])
+def test_least_words_of_windows(spark, often):
+    """Each window's least word begins a fingerprint, whatever share of words is told first, and few others do."""
+    import xxhash
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, most, n)) for most in (1, 2, 9, 500) for n in (40, 49, 50, 51, 75, 400)]
+    texts += [t.replace("w1", "\n w1\t") for t in texts[-8:]] + [t.replace(" ", "   \n") for t in texts[-3:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "_o long, _text string")
+    got = {r["_o"]: [m["pos"] for m in r["_f"]] for r in line_dedup.word_marks(df, often=often).collect()}
+    want_all, got_all = 0, 0
+    for d, text in enumerate(texts):
+        w = text.split()
+        h = [(((xxhash.xxh64(x.encode(), seed=42).intdigest() + (1 << 63)) % (1 << 64)) >> 27, p) for p, x in enumerate(w[: max(0, len(w) - 25)])]
+        want = {min(h[s : s + 25])[1] for s in range(len(h) - 24)}
+        own = got.get(d, [])
+        assert len(own) == len(set(own)) and want <= set(own) and all(0 <= p < len(h) for p in own)
+        want_all, got_all = want_all + len(want), got_all + len(own)
+    assert got_all < (4 if often == 1 else 1.5) * want_all
+
+
 def test_held_out_accuracy(spark):
     """Languages of documents that were not learned from."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
